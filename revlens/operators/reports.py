@@ -20,8 +20,6 @@ from revlens.operators.joins import calendar_reindex, top_value_rows, top_values
 from revlens.operators.quantiles import exact_quantiles
 from revlens.schema import NEGATIVE, SENTIMENTS
 
-_ROWS = F.count
-
 
 def _n() -> Column:
     return F.count(F.lit(1))
