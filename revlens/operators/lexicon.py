@@ -137,7 +137,8 @@ def lexicon_compound(
         lambda word, i: F.struct(
             word.alias("term"),
             i.alias("position"),
-            F.reverse(F.slice("words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))).alias("before"),
+            # single look-ups: slicing would copy the whole review for every word
+            F.array(*[F.get("words", i - back) for back in (1, 2, 3)]).alias("before"),
         ),
     )
     exploded = split.select(
@@ -181,8 +182,10 @@ def lexicon_polarity(
         exploded.join(terms, "term", "left")
         .groupBy(*carried)
         .agg(
-            F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("textblob_polarity"),
-            F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("textblob_subjectivity"),
+            # rounding makes the mean, and the class at a threshold, independent of the
+            # order in which words are added up
+            F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 10).alias("textblob_polarity"),
+            F.round(F.coalesce(F.avg("subjectivity"), F.lit(0.0)), 10).alias("textblob_subjectivity"),
         )
         .withColumn("textblob_sentiment", classify_polarity(F.col("textblob_polarity")))
     )
