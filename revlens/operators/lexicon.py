@@ -107,7 +107,7 @@ def _valence(
         if "least" not in known
         else F.lit(False)
     )
-    return F.when(least, value * NEGATION).otherwise(value)
+    return value * F.when(least, NEGATION).otherwise(1.0)
 
 
 def lexicon_compound(
@@ -141,12 +141,15 @@ def lexicon_compound(
             F.array(*[F.get("words", i - back) for back in (1, 2, 3)]).alias("before"),
         ),
     )
+    # the explode below copies every other column once per word, so the text and the
+    # word list have to be gone by then
     exploded = split.select(
         *carried,
         F.array_position("words", F.lit("but")).alias("but_at"),
         _punctuation_boost(F.col("text")).alias("punctuation"),
-        F.explode_outer(tokens).alias("t"),
-    ).select(*carried, "but_at", "punctuation", "t.*")
+        tokens.alias("tokens"),
+    ).select(*carried, "but_at", "punctuation", F.explode_outer("tokens").alias("t"))
+    exploded = exploded.select(*carried, "but_at", "punctuation", "t.*")
     valence = _valence(F.col("polarity"), F.col("before"), boosters_up, boosters_down, negators, known)
     place = F.col("position") + 1
     weight = (
