@@ -645,7 +645,8 @@ def vocabulary(spark, sf_dir):
 
 
 def _topic_vectors(spark, sf_dir):
-    rows = lemmatized(spark, sf_dir).select("doc_id", "review_id", "score", "content_lemmatized")
+    # read twice or more: for the vocabulary and for the vectors
+    rows = lemmatized(spark, sf_dir).select("doc_id", "content_lemmatized").persist()
     model = features.fit_tfidf(rows, "content_lemmatized", "features", 1000, 5, 0.7)
     return model.transform(rows), features.terms_of(model)
 
@@ -666,7 +667,7 @@ def lda_topics(spark, sf_dir):
 @query
 def dominant_topic(spark, sf_dir):
     vectors, _ = _topic_vectors(spark, sf_dir)
-    vectors = vectors.select("doc_id", "score", "features").persist()
+    vectors = vectors.select("doc_id", "features").persist()
     model = topics.fit_lda(vectors.select("features"))
     return topics.dominant_topic(model, vectors).select("doc_id", "dominant_topic")
 

@@ -37,14 +37,15 @@ def _constant_array(values: Sequence[str]) -> Column:
 
 
 def contains_keywords(
-    text: Column, keywords: Sequence[str], min_keywords: int = 1, mode: str = "substring"
+    text: Column, keywords: Sequence[str], min_keywords: int = 1, mode: str = "substring", lowered: bool = False
 ) -> Column:
     """True if the text holds at least ``min_keywords`` of the keywords.
 
     A keyword counts once, however often it occurs. ``mode='token'`` matches whole
-    words (or word sequences) instead of substrings.
+    words (or word sequences) instead of substrings. ``lowered`` says that the text is in
+    lower case and not null already.
     """
-    low = F.coalesce(F.lower(text), F.lit(""))
+    low = text if lowered else F.coalesce(F.lower(text), F.lit(""))
     if mode == "token":
         low = F.concat(F.lit(" "), F.regexp_replace(low, r"[.,!?\s]+", " "), F.lit(" "))
         wanted = [f" {k.lower()} " for k in keywords]
@@ -63,26 +64,23 @@ def contains_keywords(
     return F.size(hits) >= min_keywords
 
 
-def matched_categories(text: Column, taxonomy: Taxonomy, mode: str = "substring") -> Column:
+def matched_categories(text: Column, taxonomy: Taxonomy) -> Column:
     """Positions (from 0) of all categories with at least one keyword in the text.
 
     One expression over a constant table: every row is handled where it stands, so
     neither a join nor a pair of row and keyword is ever produced.
     """
-    if sum(map(len, taxonomy.values())) <= FUSED_KEYWORD_LIMIT:
-        hits = [
-            F.when(contains_keywords(text, keywords, mode=mode), F.lit(i))
-            for i, keywords in enumerate(taxonomy.values())
-        ]
-        return F.array_compact(F.array(*hits))
-    if mode != "substring":
-        raise ValueError("large keyword tables support substring matching only")
-    low = F.coalesce(F.lower(text), F.lit(""))
     table = F.array(
         *[
             F.struct(F.lit(i).alias("i"), _constant_array(_needed(keywords)).alias("k"))
             for i, keywords in enumerate(taxonomy.values())
         ]
     )
-    hit = F.filter(table, lambda row: F.exists(row["k"], lambda k: F.contains(low, k)))
-    return F.transform(hit, lambda row: row["i"])
+
+    def hits(low: Column) -> Column:
+        found = F.filter(table, lambda row: F.exists(row["k"], lambda k: F.contains(low, k)))
+        return F.transform(found, lambda row: row["i"])
+
+    # the one-element array names the lower-cased text, which is then made only once
+    low = F.coalesce(F.lower(text), F.lit(""))
+    return F.get(F.transform(F.array(low), hits), F.lit(0))

@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 from revlens.functions.wordlists import ENGLISH_STOPWORDS, REVIEW_STOPWORDS
 
-# All Unicode blanks; the JVM's \s alone knows only the ASCII ones. They become plain
-# spaces first, so that the later patterns can use cheap single-character classes.
-_BLANKS = (
-    r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# All Unicode blanks except the plain space; they become plain spaces first, so that the
+# later patterns can use cheap single-character classes.
+_BLANKS = r"[\x1c\x1d\x1e\x1f[\p{IsWhite_Space}&&[^ ]]]"
 _URL = "(?:http|www)[^ ]+"
 # A blank-delimited word is a mail address if an @ stands strictly inside it. The
 # look-behind and the possessive run keep the scan linear on very long words.
@@ -36,11 +33,27 @@ _CONTRACTIONS = (
 _CONTRACTION_PARTS = " $1$3$5$7$9$11 $2$4$6$8$10$12 "
 
 
+def _drop_if(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
+    """Remove a pattern from the few texts that hold a sign of it at all.
+
+    The byte search for a fixed string is far cheaper than the pattern. Going through a
+    one-element array names the text, so that it is worked out once and not per use.
+    """
+
+    def drop(t: Column) -> Column:
+        suspect = reduce(or_, [F.contains(t, F.lit(m)) for m in marks])
+        return F.when(suspect, F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return F.get(F.transform(F.array(text), drop), F.lit(0))
+
+
 def clean_text(text: Column) -> Column:
     """Lower-cased text without links, mail addresses, phone numbers and symbols."""
     out = F.regexp_replace(F.lower(text), _BLANKS, " ")
-    for pattern in (_URL, _MAIL, _PHONE, _UNWANTED):
-        out = F.regexp_replace(out, pattern, "")
+    out = _drop_if(out, ("http", "www"), _URL)
+    out = _drop_if(out, ("@",), _MAIL)
+    out = F.regexp_replace(out, _PHONE, "")
+    out = F.regexp_replace(out, _UNWANTED, "")
     out = F.regexp_replace(out, " {2,}", " ")
     return F.coalesce(F.trim(out), F.lit(""))
 

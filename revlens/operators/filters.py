@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.schema import NO_PREDICTION
+from revlens.schema import NEUTRAL, NO_PREDICTION, POSITIVE
 
 OUTLIER_DAYS = 42
 
@@ -16,6 +16,19 @@ def filter_sentiment(df: DataFrame, label: str, column: str = "sentiment_label")
     return df.where(F.col(column) == label)
 
 
+def filter_rating(df: DataFrame, label: str, score: str = "score") -> DataFrame:
+    """Rows of one class, told by plain comparisons that reach a Parquet scan.
+
+    Same rows as a filter on the derived label, whose case distinction stays in Spark.
+    """
+    y = F.col(score)
+    if label == POSITIVE:
+        return df.where(y >= 4)
+    if label == NEUTRAL:
+        return df.where(y == 3)
+    return df.where(y.isNull() | ((y < 4) & (y != 3)))
+
+
 def has_text(df: DataFrame, column: str = "content_clean") -> DataFrame:
     return df.where(F.col(column) != "")
 

@@ -21,21 +21,47 @@ from revlens.plans.enrich import text_column
 from revlens.schema import NEGATIVE
 
 
+def _flags(taxonomy: Taxonomy, low: Column) -> list[Column]:
+    return [
+        contains_keywords(low, words, lowered=True).alias(f"hit{i}") for i, words in enumerate(taxonomy.values())
+    ]
+
+
+def _low(text: Column) -> Column:
+    """Lower-cased text under a name of its own, so that it is made once per row."""
+    return F.coalesce(F.lower(text), F.lit("")).alias("low")
+
+
+def _fits(taxonomy: Taxonomy) -> bool:
+    return sum(map(len, taxonomy.values())) <= FUSED_KEYWORD_LIMIT
+
+
 def taxonomy_match(df: DataFrame, taxonomy: Taxonomy, text: str | None = None, key: str = "review_id") -> DataFrame:
     """One row per review and category it mentions."""
     names = F.array(*[F.lit(name) for name in taxonomy])
-    hits = matched_categories(F.col(text or text_column(df)), taxonomy)
-    return df.select(key, F.explode(hits).alias("ordinal")).select(
-        key, "ordinal", F.element_at(names, F.col("ordinal") + 1).alias("category")
+    column = F.col(text or text_column(df))
+    if _fits(taxonomy):
+        flags = _flags(taxonomy, F.col("low"))
+        marks = [F.when(flag, F.lit(i)) for i, flag in enumerate(flags)]
+        hits = df.select(key, _low(column)).select(key, F.array(*marks).alias("hits"))
+    else:
+        hits = df.select(key, matched_categories(column, taxonomy).alias("hits"))
+    # the outer form: a plain explode would put "is there any hit?" in front of the
+    # scan and so read every text a second time
+    return (
+        hits.select(key, F.explode_outer("hits").alias("ordinal"))
+        .where(F.col("ordinal").isNotNull())
+        .select(key, "ordinal", F.element_at(names, F.col("ordinal") + 1).alias("category"))
     )
 
 
 def _mentions_fused(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequence[str], example: Column | None):
-    flags = [contains_keywords(text, words).alias(f"hit{i}") for i, words in enumerate(taxonomy.values())]
+    flags = _flags(taxonomy, F.col("low"))
     extra = [] if example is None else [example.alias("example")]
-    # a filter of its own keeps the keyword tests out of the aggregate, where they
+    # a projection of its own keeps the keyword tests out of the aggregate, where they
     # would be repeated for every function that uses them
-    rows = df.select(*by, *extra, *flags)
+    kept = [*by, *([] if example is None else ["example"])]
+    rows = df.select(*by, *extra, _low(text)).select(*kept, *flags)
     totals = [F.count(F.lit(1)).alias("total")]
     for i in range(len(flags)):
         totals.append(F.count_if(F.col(f"hit{i}")).alias(f"n{i}"))
@@ -79,8 +105,7 @@ def category_mentions(
     df: DataFrame, taxonomy: Taxonomy, text: str, by: Sequence[str] = (), example: Column | None = None
 ) -> DataFrame:
     """Rows and mentions per category (and group), categories without hits included."""
-    size = sum(map(len, taxonomy.values()))
-    count = _mentions_fused if size <= FUSED_KEYWORD_LIMIT else _mentions_exploded
+    count = _mentions_fused if _fits(taxonomy) else _mentions_exploded
     return count(df, taxonomy, F.col(text), list(by), example)
 
 

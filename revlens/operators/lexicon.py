@@ -208,7 +208,7 @@ def lemmatize(
     """
     forms = dictionary.where(F.col("form") != F.col("lemma")).groupBy("form").agg(F.min("lemma").alias("lemma"))
     used = (
-        df.select(key, F.explode(F.array_distinct(tokens)).alias("form"))
+        df.select(key, F.explode_outer(F.array_distinct(tokens)).alias("form"))
         .join(small_side(forms), "form")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("__lemmas"))

@@ -269,8 +269,10 @@ def word_frequencies(
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w[\w']+"), 0)
     listed = list(stopwords)
     counts = (
-        df.select(F.col(label).alias("label"), F.explode(words).alias("word"))
-        .where(~F.col("word").isin(listed) & ~F.col("word").rlike("^[0-9]+$"))
+        df.select(F.col(label).alias("label"), F.explode_outer(words).alias("word"))
+        .where(F.col("word").isNotNull())
+        # only words below ":" start with a digit and need the pattern
+        .where(~F.col("word").isin(listed) & ((F.col("word") > ":") | ~F.col("word").rlike("^[0-9]+$")))
         .groupBy("label", "word")
         .agg(_n().alias("n"))
     )

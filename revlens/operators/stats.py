@@ -35,8 +35,11 @@ def topics_from_frame(frame: DataFrame) -> dict[int, list[str]]:
 
 def _one_row(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
     """All moments side by side in a single row, one conditional set per topic."""
-    flags = [contains_keywords(F.col(text), words).alias(f"h{i}") for i, words in enumerate(topics.values())]
-    rows = df.select(F.col(score).cast("double").alias("y"), *flags)
+    low = F.coalesce(F.lower(F.col(text)), F.lit("")).alias("low")
+    flags = [
+        contains_keywords(F.col("low"), words, lowered=True).alias(f"h{i}") for i, words in enumerate(topics.values())
+    ]
+    rows = df.select(F.col(score).cast("double").alias("y"), low).select("y", *flags)
     aggregates, cells = [], []
     for i, (topic, words) in enumerate(topics.items()):
         cell = [F.lit(topic).alias("topic_id"), F.lit(_label(words)).alias("keywords")]
