@@ -301,7 +301,7 @@ def test_classifiers_learn_and_survive_saving(spark, tmp_path):
     loaded, again = sinks.load_model_results(spark, str(tmp_path), ("Naive Bayes",))
     assert again.count() == 5 and sinks.load_predictions(spark, str(tmp_path)).count() == 200
     text = spark.createDataFrame([("apple pear plum",), ("wheel brake",)], "content_clean string")
-    assert [r.prediction for r in loaded["Naive Bayes"].transform(text).collect()] == [0.0, 2.0]
+    assert [r.predicted_label for r in loaded["Naive Bayes"].transform(text).collect()] == ["Negative", "Positive"]
 
 
 def test_cross_validation(spark):

@@ -13,7 +13,7 @@ CASES = [
     "1234567890 123-456-7890 123.456.7890 12345678901", "don't stop!!! really?", "naïve café İstanbul",
     "a" + chr(0xA0) + "b" + chr(0x2003) + "c" + chr(0x3000) + "d" + chr(0x1C) + "e" + chr(0x85) + "f",
     "tab\x0bform\x0c", "control\x01glue", "\U0001F600emoji", "3.5, 1,000 ...",
-    "x@http://foo bar", "é1234567890", "KKelvin", "_under_score_ [brackets] {x} `q` ~",
+    "x@http://foo bar", chr(0xE9) + "1234567890", chr(0x212A) + "elvin", "_under_score_ [brackets] {x} `q` ~",
 ]
 
 
