@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from revlens.schema import NEUTRAL, NO_PREDICTION, POSITIVE
 
 OUTLIER_DAYS = 42
+# A label has few classes; a split by more of them is a mistake in the column.
+MAX_CLASSES = 1000
 
 
 def filter_sentiment(df: DataFrame, label: str, column: str = "sentiment_label") -> DataFrame:
@@ -71,7 +73,8 @@ def _cut_points(df: DataFrame, key: str, seed: int, group: Column, quota: Callab
     """Last key in hash order that still belongs to each group's quota.
 
     Counts per hash prefix (at most 4096 a group) find the prefix in which the quota
-    ends, and only the rows under that prefix are ranked. No group is ever ordered as
+    ends, and only the rows under that prefix are ranked. There is one such prefix per
+    group, and the caller refuses more than MAX_CLASSES groups. No group is ever ordered as
     a whole, so a class with most of the rows costs no more than the others.
     """
     keys = df.select(group.alias("g"), sample_hash(key, seed).alias("h"), F.col(key).alias("k"))
@@ -84,10 +87,11 @@ def _cut_points(df: DataFrame, key: str, seed: int, group: Column, quota: Callab
         .withColumn("quota", quota(F.sum("n").over(Window.partitionBy("g"))))
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("g", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
+        .limit(MAX_CLASSES + 1)
     )
     rank = F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))
     return (
-        keys.join(edge, ["g", "prefix"])
+        keys.join(F.broadcast(edge), ["g", "prefix"])
         .withColumn("rank", rank)
         .where(F.col("rank") == F.col("rest"))
         .select("g", F.struct("h", "k").alias("cut"))
@@ -115,10 +119,14 @@ def stratified_split(
     A class of c rows puts round(c * test_share) of them into the test part.
     """
     cut = _cut_points(df, key, seed, F.col(label), lambda c: F.round(c * F.lit(test_share)).cast("bigint"))
+    # one entry per class in a scalar subquery: the table itself is neither joined nor
+    # shuffled, which by class would send most of it to one task
+    by_class = F.map_from_entries(F.collect_list(F.struct("g", "cut")))
+    checked = F.when(F.count(F.lit(1)) > MAX_CLASSES, F.raise_error(F.lit("too many classes"))).otherwise(by_class)
+    cuts = cut.limit(MAX_CLASSES + 1).agg(checked.alias("cuts")).scalar()
     position = F.struct(sample_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    joined = df.join(cut.withColumnRenamed("g", label), label, "left")
-    in_test = F.coalesce(position <= F.col("cut"), F.lit(False))
-    return joined.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("cut")
+    in_test = F.coalesce(position <= F.try_element_at(cuts, F.col(label)), F.lit(False))
+    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def hash_split(df: DataFrame, key: str = "review_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:

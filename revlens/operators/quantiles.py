@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SPLITS = 64
+_SALTS = 32
 
 
 def exact_quantiles(
@@ -29,24 +30,34 @@ def exact_quantiles(
         .groupBy(*group, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # reading n here as well lets Spark reuse the shuffle of the counts in every branch
     edges = counts.groupBy(*group).agg(
-        F.percentile_approx("value", [i / _SPLITS for i in range(1, _SPLITS)], 10_000).alias("edges")
+        F.percentile_approx("value", [i / _SPLITS for i in range(1, _SPLITS)], 10_000).alias("edges"),
+        F.sum("n").alias("total"),
     )
-    ranged = counts.join(edges, group).select(
+    if by:
+        # a group may hold most of the values, so its rows are spread over several keys
+        salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+        edges = edges.withColumn("salt", F.explode(salts))
+        salted = counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int"))
+        paired = salted.join(edges, [*group, "salt"])
+    else:
+        # one row per value column
+        paired = counts.join(F.broadcast(edges), group)
+    ranged = paired.select(
         *group,
         "value",
         "n",
+        "total",
         F.size(F.filter("edges", lambda edge: edge < F.col("value"))).alias("range"),
     )
 
     # at most _SPLITS rows per group from here on
     in_order = Window.partitionBy(*group).orderBy("range")
-    whole = Window.partitionBy(*group)
     sizes = (
         ranged.groupBy(*group, "range")
-        .agg(F.sum("n").alias("m"))
+        .agg(F.sum("n").alias("m"), F.first("total").alias("total"))
         .withColumn("before", F.sum("m").over(in_order) - F.col("m"))
-        .withColumn("total", F.sum("m").over(whole))
     )
     wanted = []
     for i, p in enumerate(probabilities):
