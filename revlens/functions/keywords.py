@@ -9,9 +9,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many keywords one generated method would hold too many tests, so the
-# table becomes a constant array that one higher-order expression walks through.
-FUSED_KEYWORD_LIMIT = 400
+# Above this many keywords the generated method would grow too large for the JVM to
+# compile, so the list becomes a constant array that one expression walks through.
+FUSED_KEYWORD_LIMIT = 40
 # Largest keyword table that may travel with the plan.
 TAXONOMY_ROW_LIMIT = 20_000
 
@@ -37,15 +37,14 @@ def _constant_array(values: Sequence[str]) -> Column:
 
 
 def contains_keywords(
-    text: Column, keywords: Sequence[str], min_keywords: int = 1, mode: str = "substring", lowered: bool = False
+    text: Column, keywords: Sequence[str], min_keywords: int = 1, mode: str = "substring"
 ) -> Column:
     """True if the text holds at least ``min_keywords`` of the keywords.
 
     A keyword counts once, however often it occurs. ``mode='token'`` matches whole
-    words (or word sequences) instead of substrings. ``lowered`` says that the text is in
-    lower case and not null already.
+    words (or word sequences) instead of substrings.
     """
-    low = text if lowered else F.coalesce(F.lower(text), F.lit(""))
+    low = F.coalesce(F.lower(text), F.lit(""))
     if mode == "token":
         low = F.concat(F.lit(" "), F.regexp_replace(low, r"[.,!?\s]+", " "), F.lit(" "))
         wanted = [f" {k.lower()} " for k in keywords]

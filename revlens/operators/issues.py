@@ -1,8 +1,8 @@
 """Issue reports: which categories of a keyword table do reviews mention?
 
 All categories are counted in one pass over the text. A row may count for several
-categories. Small keyword tables become one conditional count per category; large
-ones one array of hits per row, counted by value.
+categories. Each row gets the array of its hits; a table of few categories is then one
+conditional count per category, a table of many counts the exploded hits by value.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.keywords import FUSED_KEYWORD_LIMIT, Taxonomy, contains_keywords, matched_categories
+from revlens.functions.keywords import Taxonomy, matched_categories
 from revlens.functions.text import snippet
 from revlens.functions.wordlists import COMPACT_TAXONOMY, ISSUE_TAXONOMY
 from revlens.operators.filters import filter_sentiment, last_year
@@ -21,31 +21,18 @@ from revlens.plans.enrich import text_column
 from revlens.schema import NEGATIVE
 
 
-def _flags(taxonomy: Taxonomy, low: Column) -> list[Column]:
-    return [
-        contains_keywords(low, words, lowered=True).alias(f"hit{i}") for i, words in enumerate(taxonomy.values())
-    ]
-
-
-def _low(text: Column) -> Column:
-    """Lower-cased text under a name of its own, so that it is made once per row."""
-    return F.coalesce(F.lower(text), F.lit("")).alias("low")
+# Up to this many categories each get columns of their own in one aggregation.
+FUSED_CATEGORY_LIMIT = 50
 
 
 def _fits(taxonomy: Taxonomy) -> bool:
-    return sum(map(len, taxonomy.values())) <= FUSED_KEYWORD_LIMIT
+    return len(taxonomy) <= FUSED_CATEGORY_LIMIT
 
 
 def taxonomy_match(df: DataFrame, taxonomy: Taxonomy, text: str | None = None, key: str = "review_id") -> DataFrame:
     """One row per review and category it mentions."""
     names = F.array(*[F.lit(name) for name in taxonomy])
-    column = F.col(text or text_column(df))
-    if _fits(taxonomy):
-        flags = _flags(taxonomy, F.col("low"))
-        marks = [F.when(flag, F.lit(i)) for i, flag in enumerate(flags)]
-        hits = df.select(key, _low(column)).select(key, F.array(*marks).alias("hits"))
-    else:
-        hits = df.select(key, matched_categories(column, taxonomy).alias("hits"))
+    hits = df.select(key, matched_categories(F.col(text or text_column(df)), taxonomy).alias("hits"))
     # the outer form: a plain explode would put "is there any hit?" in front of the
     # scan and so read every text a second time
     return (
@@ -56,14 +43,13 @@ def taxonomy_match(df: DataFrame, taxonomy: Taxonomy, text: str | None = None, k
 
 
 def _mentions_fused(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequence[str], example: Column | None):
-    flags = _flags(taxonomy, F.col("low"))
     extra = [] if example is None else [example.alias("example")]
-    # a projection of its own keeps the keyword tests out of the aggregate, where they
-    # would be repeated for every function that uses them
     kept = [*by, *([] if example is None else ["example"])]
-    rows = df.select(*by, *extra, _low(text)).select(*kept, *flags)
+    # the hits get a projection of their own: found once per row, tested many times
+    flags = [F.array_contains("hits", i).alias(f"hit{i}") for i in range(len(taxonomy))]
+    rows = df.select(*by, *extra, matched_categories(text, taxonomy).alias("hits")).select(*kept, *flags)
     totals = [F.count(F.lit(1)).alias("total")]
-    for i in range(len(flags)):
+    for i in range(len(taxonomy)):
         totals.append(F.count_if(F.col(f"hit{i}")).alias(f"n{i}"))
         if example is not None:
             totals.append(F.min(F.when(F.col(f"hit{i}"), F.col("example"))).alias(f"e{i}"))

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from revlens.functions.keywords import FUSED_KEYWORD_LIMIT, contains_keywords, matched_categories
+from revlens.functions.keywords import matched_categories
 from revlens.functions.labels import effect_size_band, impact_label, neg_log10, rating_band
 
 Topics = Mapping[int, Sequence[str]]
 ALPHA = 0.05
+# Up to this many topics get columns of their own in one aggregation.
+FUSED_TOPIC_LIMIT = 50
 
 
 def _label(keywords: Sequence[str], n: int = 5) -> str:
@@ -33,13 +35,15 @@ def topics_from_frame(frame: DataFrame) -> dict[int, list[str]]:
     return {r.topic_id: list(r.keywords) for r in sorted(rows, key=lambda r: r.topic_id)}
 
 
+def _named(topics: Topics) -> dict[str, Sequence[str]]:
+    return {str(topic): words for topic, words in topics.items()}
+
+
 def _one_row(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
     """All moments side by side in a single row, one conditional set per topic."""
-    low = F.coalesce(F.lower(F.col(text)), F.lit("")).alias("low")
-    flags = [
-        contains_keywords(F.col("low"), words, lowered=True).alias(f"h{i}") for i, words in enumerate(topics.values())
-    ]
-    rows = df.select(F.col(score).cast("double").alias("y"), low).select("y", *flags)
+    hits = matched_categories(F.col(text), _named(topics)).alias("hits")
+    flags = [F.array_contains("hits", i).alias(f"h{i}") for i in range(len(topics))]
+    rows = df.select(F.col(score).cast("double").alias("y"), hits).select("y", *flags)
     aggregates, cells = [], []
     for i, (topic, words) in enumerate(topics.items()):
         cell = [F.lit(topic).alias("topic_id"), F.lit(_label(words)).alias("keywords")]
@@ -60,8 +64,7 @@ def _one_row(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
 def _by_hit(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
     """Many topics: sums per hit topic, the other side as the rest of the total."""
     y = F.col(score).cast("double")
-    named = {str(t): words for t, words in topics.items()}
-    hits = F.concat(F.array(F.lit(-1)), matched_categories(F.col(text), named))
+    hits = F.concat(F.array(F.lit(-1)), matched_categories(F.col(text), _named(topics)))
     sums = (
         df.select(y.alias("y"), F.explode(hits).alias("i"))
         .groupBy("i")
@@ -92,8 +95,7 @@ def _by_hit(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
 
 
 def topic_moments(df: DataFrame, topics: Topics, text: str = "content_clean", score: str = "score") -> DataFrame:
-    size = sum(map(len, topics.values()))
-    collect = _one_row if size <= FUSED_KEYWORD_LIMIT and len(topics) <= 50 else _by_hit
+    collect = _one_row if len(topics) <= FUSED_TOPIC_LIMIT else _by_hit
     return collect(df, topics, text, score)
 
 

@@ -249,7 +249,7 @@ def test_keyword_presence_invariants_and_welch(spark):
 def test_many_topics_take_the_other_way_with_equal_results(spark, monkeypatch):
     df = topic_data(spark)
     fused = rows(stats.topic_moments(df, TOPICS), "topic_id")
-    monkeypatch.setattr(stats, "FUSED_KEYWORD_LIMIT", 0)
+    monkeypatch.setattr(stats, "FUSED_TOPIC_LIMIT", 0)
     for a, b in zip(fused, rows(stats.topic_moments(df, TOPICS), "topic_id")):
         for name in a:
             assert (a[name] == pytest.approx(b[name])) if isinstance(a[name], float) else a[name] == b[name], name

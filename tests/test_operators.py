@@ -243,7 +243,7 @@ def test_large_taxonomies_give_the_same_result(enriched, monkeypatch):
         "v": rows(issues.version_issues(enriched), "version", "ordinal"),
         "m": rows(issues.taxonomy_match(enriched, ISSUE_TAXONOMY), "review_id", "ordinal"),
     }
-    monkeypatch.setattr(issues, "FUSED_KEYWORD_LIMIT", 0)
+    monkeypatch.setattr(issues, "FUSED_CATEGORY_LIMIT", 0)
     large = {
         "b": rows(issues.issue_breakdown(enriched), "ordinal"),
         "c": rows(issues.issue_breakdown_compact(enriched, COMPACT_TAXONOMY), "ordinal"),
