@@ -672,6 +672,16 @@ def dominant_topic(spark, sf_dir):
     return topics.dominant_topic(model, vectors).select("doc_id", "dominant_topic")
 
 
+@query
+def topic_keywords(spark, sf_dir):
+    vectors, terms = _topic_vectors(spark, sf_dir)
+    model = topics.fit_lda(vectors.select("features").persist())
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    listed = topics.lda_topic_terms(model, terms, 15).groupBy("topic").agg(ranked.alias("ranked"))
+    keywords = F.transform("ranked", lambda x: x["term"])
+    return listed.select("topic", text.keyword_list_label(keywords, 15).alias("keywords"))
+
+
 @query
 def nmf_topics(spark, sf_dir):
     vectors, terms = _topic_vectors(spark, sf_dir)
