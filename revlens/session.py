@@ -16,8 +16,9 @@ RUNTIME_SETTINGS = {
     # split a skewed join partition even when that costs one more shuffle later
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # whole review texts travel in Arrow batches; bound them by size, not only rows
+    # whole review texts travel in Arrow batches; bound them by rows and by size
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
