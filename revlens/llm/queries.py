@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import packing, token_counts
+from revlens.llm import packing, perplexity, token_counts
 from revlens.llm.common import table
 
 
@@ -24,9 +24,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op6_ngram_perplexity": op6_ngram_perplexity,
 }
 
 ORACLE: dict[str, str] = {}
