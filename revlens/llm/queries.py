@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import packing, perplexity, token_counts
+from revlens.llm import near_dups, packing, perplexity, token_counts
 from revlens.llm.common import table
 
 
@@ -28,10 +28,15 @@ def op6_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_counts": op4_token_counts,
     "op6_ngram_perplexity": op6_ngram_perplexity,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
