@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, main_text, near_dups, packing, perplexity, substrings, token_counts, toxicity
+from revlens.llm import decontaminate, fuzzy_lines, main_text, near_dups, packing, perplexity, substrings, token_counts, toxicity
 from revlens.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_repeats(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_ngram_perplexity": op6_ngram_perplexity,
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
