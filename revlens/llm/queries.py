@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, fuzzy_lines, main_text, near_dups, packing, perplexity, substrings, token_counts, toxicity
+from revlens.llm import decontaminate, fuzzy_lines, main_text, near_dups, packing, perplexity, substrings, surrogates, token_counts, toxicity
 from revlens.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("corpus.surrogate.key", "a key of the caller's own")
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op6_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_main_text": op3_html_main_text,
     "op4_token_counts": op4_token_counts,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_ngram_perplexity": op6_ngram_perplexity,
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op8_fuzzy_lines": op8_fuzzy_lines,
