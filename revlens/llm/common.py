@@ -17,7 +17,7 @@ BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Distinct strings a worker remembers before it starts afresh. Bounds memory, not results.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Distinct ids up to this number are sent to all tasks (8 bytes each); more are joined by shuffle.
+SENT_IDS = 500_000
+
+
+def among(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose id is among the distinct ``ids`` (or is not, by "left_anti").
+
+    A null id is an id like any other.
+    """
+    few = ids.select(F.col(on).alias("__id"))
+    few = F.broadcast(few) if few.count() <= SENT_IDS else few
+    return df.join(few, df[on].eqNullSafe(F.col("__id")), how)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text as bytes; a null text counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -118,3 +132,10 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def to_batches(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def byte_symbols() -> list[str]:
+    """The printable stand-ins of the 256 byte values in published byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]

@@ -19,7 +19,9 @@ table. Further columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import MEMORY, batch_rows, keyed_texts, stored, to_batches
+from revlens.llm.common import batch_rows, byte_symbols, keyed_texts, stored, to_batches
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -40,43 +42,81 @@ GROUP_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Letters whose lower case does not depend on their neighbours, then ASCII signs.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
+
+
 class Ids:
     """Token ids of whole texts as bytes (unsigned little-endian 32-bit numbers).
 
     The vocabulary drops white space and never joins across it, so the ids of a text are
-    those of its blank-separated chunks. Chunks are encoded once and remembered.
+    those of its blank-separated chunks. A chunk of letters and then signs is two words to
+    the vocabulary; they go straight to the library's model, in lower case and in its byte
+    symbols, as its own preparation would do. Other chunks take the whole preparation. A
+    worker remembers chunks over its tasks: those of the current generation, and those of
+    the one before until they are used again.
     """
 
+    LONGEST = 64
+    GENERATION = 600_000
+
     def __init__(self, vocabulary_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_file)
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
         self.known: dict[str, bytes] = {"": b""}
-
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            new = list({c for c in chunks if c not in self.known})
-            if not new:
-                yield b"".join(map(self.known.__getitem__, chunks))
-                continue
-            fresh = dict(zip(new, self._encoded(new), strict=True))
-            self.known.update((c, i) for c, i in fresh.items() if len(c) <= 64)
-            yield b"".join([self.known[c] if c in self.known else fresh[c] for c in chunks])
+        self.before: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the vocabulary's own splitting."""
+        found = self.known.get(word) or self.before.get(word)
+        if found is None:
+            symbols = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.symbols)
+            found = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if len(word) <= self.LONGEST:
+                self.known[word] = found
+        return found
+
+    def _fresh(self, chunk: str) -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain is None:
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        letters, signs = plain.groups()
+        return self._word(letters.lower()) + self._word(signs) if signs else self._word(letters.lower())
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.GENERATION:
+            self.known, self.before = {"": b""}, self.known
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split) - self.known.keys()
+        known, before = self.known, self.before.get
+        for chunk in new:
+            known[chunk] = before(chunk) or self._fresh(chunk)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for chunk in new:
+            if len(chunk) > self.LONGEST:
+                del known[chunk]
+        return out
+
+
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(vocabulary_file: str) -> Ids:
+    """The worker's own tokenizer with what it remembers."""
+    if vocabulary_file not in _IDS:
+        _IDS[vocabulary_file] = Ids(vocabulary_file)
+    return _IDS[vocabulary_file]
 
 
 def pieces(docs: DataFrame, vocabulary_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(vocabulary_file)
+        ids = ids_of(vocabulary_file)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:

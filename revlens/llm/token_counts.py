@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from revlens.llm.common import MEMORY, batch_rows, keyed_texts, to_batches
+from revlens.llm.common import MEMORY, batch_rows, byte_symbols, keyed_texts, to_batches
 
 #: Fixed value: the published splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,13 +28,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def _byte_symbols() -> list[str]:
-    """The printable stand-ins of the 256 byte values in published byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class Merges:
     """The merge table as sorted arrays: pair of symbol ids -> rank and joined symbol id."""
 
@@ -49,7 +42,7 @@ class Merges:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.joined = np.array([ids[a + b] for a, b in pairs], np.int64)
-        self.of_byte = np.array([ids[c] for c in _byte_symbols()], np.int64)
+        self.of_byte = np.array([ids[c] for c in byte_symbols()], np.int64)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -130,7 +123,7 @@ class Counter:
         split = [self.chunks(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known = {}
-        new = list({c for chunks in split for c in chunks if c not in self.known})
+        new = list(set().union(*split) - self.known.keys())
         fresh = {}
         pieces, owner, extra = [], [], np.zeros(len(new), np.int64)
         seen: dict[bytes, int] = {}
@@ -151,11 +144,21 @@ class Counter:
         return [sum(map(known, chunks)) for chunks in split]
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(vocabulary_file: str) -> Counter:
+    """The worker's own counter with what it remembers."""
+    if vocabulary_file not in _COUNTERS:
+        _COUNTERS[vocabulary_file] = Counter(vocabulary_file)
+    return _COUNTERS[vocabulary_file]
+
+
 def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary_file)
+        counter = counter_of(vocabulary_file)
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
         for batch in batches:
             rows = list(batch_rows(batch, "doc_id", "body"))
