@@ -33,7 +33,6 @@ from revlens.plans import enrich
 from revlens.plans.topic_impact import topic_impact as run_topic_impact
 from revlens.sources.reviews import parse_timestamps as parse_columns
 from revlens.sources.reviews import reviews_view as as_reviews
-from revlens.sources.reviews import spread_small_input
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,10 +101,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the raw text, spread over all task slots before the text work."""
-    documents = spread_small_input(table(spark, sf_dir, "documents"), "doc_id")
-    base = enrich.presence_flags(enrich.temporal_features(as_reviews(documents)))
-    return enrich.label_columns(enrich.response_time(base))
+    """Facts with the raw text."""
+    return facts(spark, sf_dir)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

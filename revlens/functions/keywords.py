@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many keywords the generated method would grow too large for the JVM to
-# compile, so the list becomes a constant array that one expression walks through.
-FUSED_KEYWORD_LIMIT = 40
-# Largest keyword table that may travel with the plan.
-TAXONOMY_ROW_LIMIT = 20_000
-
 Taxonomy = Mapping[str, Sequence[str]]
 
 
 def taxonomy_from_frame(frame: DataFrame) -> dict[str, list[str]]:
-    """Read a (category, ordinal, keywords) table, refusing one that is too large."""
-    rows = frame.select("category", "ordinal", "keywords").limit(TAXONOMY_ROW_LIMIT + 1).collect()
-    if len(rows) > TAXONOMY_ROW_LIMIT:
-        raise ValueError(f"keyword table has more than {TAXONOMY_ROW_LIMIT} rows")
+    """Read a (category, ordinal, keywords) table; it travels with the plan, as a dictionary does."""
+    rows = frame.select("category", "ordinal", "keywords").collect()
     return {r.category: list(r.keywords) for r in sorted(rows, key=lambda r: r.ordinal)}
 
 
@@ -54,9 +44,6 @@ def contains_keywords(
         raise ValueError(f"unknown mode {mode!r}")
     if not wanted:
         return F.lit(min_keywords <= 0)
-    if min_keywords == 1 and len(wanted) <= FUSED_KEYWORD_LIMIT:
-        pruned = _needed(wanted)
-        return reduce(or_, [F.contains(low, F.lit(k)) for k in pruned])
     if min_keywords == 1:
         return F.exists(_constant_array(_needed(wanted)), lambda k: F.contains(low, k))
     hits = F.filter(_constant_array(wanted), lambda k: F.contains(low, k))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from revlens.schema import NEUTRAL, NO_PREDICTION, POSITIVE
 
 OUTLIER_DAYS = 42
-# A label has few classes; a split by more of them is a mistake in the column.
-MAX_CLASSES = 1000
+# Hexadecimal digits of the sample hash by which the rows of a class are told apart, step by
+# step: 4096 parts of a class, then of one part, then of one part of that.
+PREFIXES = (3, 6, 9)
+# Classes whose cut points are sent to every task; more of them are joined by shuffle.
+SENT_CLASSES = 100_000
+SALTS = 64
 
 
 def filter_sentiment(df: DataFrame, label: str, column: str = "sentiment_label") -> DataFrame:
@@ -70,28 +74,32 @@ def hash_fold(key: str, folds: int, seed: int = 42) -> Column:
 
 
 def _cut_points(df: DataFrame, key: str, seed: int, group: Column, quota: Callable[[Column], Column]):
-    """Last key in hash order that still belongs to each group's quota.
+    """Last key in hash order that still belongs to each group's quota: (g, cut).
 
-    Counts per hash prefix (at most 4096 a group) find the prefix in which the quota
-    ends, and only the rows under that prefix are ranked. There is one such prefix per
-    group, and the caller refuses more than MAX_CLASSES groups. No group is ever ordered as
-    a whole, so a class with most of the rows costs no more than the others.
+    Counts per hash prefix find the part of a group in which its quota ends; the same again
+    inside that part, and once more. Only the rows under the last prefix are ranked, some
+    4096**3 times fewer than the group has, so neither a group nor a large part of it is ever
+    ordered. Each step reads keys and groups only and leaves one row per group.
     """
-    keys = df.select(group.alias("g"), sample_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    keys = keys.withColumn("prefix", F.substring("h", 1, 3))
-    ordered = Window.partitionBy("g").orderBy("prefix")
-    edge = (
-        keys.groupBy("g", "prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(ordered))
-        .withColumn("quota", quota(F.sum("n").over(Window.partitionBy("g"))))
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("g", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
-        .limit(MAX_CLASSES + 1)
-    )
+    keys = df.select(group.alias("g"), sample_hash(key, seed).alias("h"), F.col(key).alias("k")).where("g IS NOT NULL")
+    edge, under = None, keys
+    for digits in PREFIXES:
+        if edge is not None:
+            under = under.join(edge, ["g", "prefix"]).drop("prefix")
+        under = under.withColumn("prefix", F.substring("h", 1, digits))
+        counts = under.groupBy("g", "prefix").agg(F.count(F.lit(1)).alias("n"), *([] if edge is None else [F.first("rest").alias("quota")]))
+        if edge is None:
+            counts = counts.withColumn("quota", quota(F.sum("n").over(Window.partitionBy("g"))))
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("prefix"))
+        edge = (
+            counts.withColumn("upto", upto)
+            .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+            .select("g", "prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
+        )
+        under = under.drop("rest")
     rank = F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))
     return (
-        keys.join(F.broadcast(edge), ["g", "prefix"])
+        under.join(edge, ["g", "prefix"])
         .withColumn("rank", rank)
         .where(F.col("rank") == F.col("rest"))
         .select("g", F.struct("h", "k").alias("cut"))
@@ -116,17 +124,23 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train or test) with the same test share in every class.
 
-    A class of c rows puts round(c * test_share) of them into the test part.
+    A class of c rows puts round(c * test_share) of them into the test part. Rows without a
+    label are training rows.
     """
     cut = _cut_points(df, key, seed, F.col(label), lambda c: F.round(c * F.lit(test_share)).cast("bigint"))
-    # one entry per class in a scalar subquery: the table itself is neither joined nor
-    # shuffled, which by class would send most of it to one task
-    by_class = F.map_from_entries(F.collect_list(F.struct("g", "cut")))
-    checked = F.when(F.count(F.lit(1)) > MAX_CLASSES, F.raise_error(F.lit("too many classes"))).otherwise(by_class)
-    cuts = cut.limit(MAX_CLASSES + 1).agg(checked.alias("cuts")).scalar()
     position = F.struct(sample_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    in_test = F.coalesce(position <= F.try_element_at(cuts, F.col(label)), F.lit(False))
-    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
+    few = cut.limit(SENT_CLASSES + 1).collect()
+    if len(few) <= SENT_CLASSES:
+        # the table itself is neither shuffled nor sorted
+        cuts = F.broadcast(df.sparkSession.createDataFrame(few, cut.schema))
+        placed = df.join(cuts, F.col(label) == F.col("g"), "left")
+    else:
+        # a class with most of the rows is dealt out over SALTS keys
+        salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = df.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        placed = dealt.join(salted, (F.col(label) == F.col("g")) & (F.col("__salt") == F.col("salt")), "left").drop("__salt", "salt")
+    in_test = F.coalesce(position <= F.col("cut"), F.lit(False))
+    return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("g", "cut")
 
 
 def hash_split(df: DataFrame, key: str = "review_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -1,8 +1,8 @@
 """Issue reports: which categories of a keyword table do reviews mention?
 
 All categories are counted in one pass over the text. A row may count for several
-categories. Each row gets the array of its hits; a table of few categories is then one
-conditional count per category, a table of many counts the exploded hits by value.
+categories. Each row gets the array of its hits, and the exploded hits are counted by value
+before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,18 +15,15 @@ from pyspark.sql import functions as F
 from revlens.functions.keywords import Taxonomy, matched_categories
 from revlens.functions.text import snippet
 from revlens.functions.wordlists import COMPACT_TAXONOMY, ISSUE_TAXONOMY
-from revlens.operators.filters import filter_sentiment, last_year
+from revlens.operators.filters import filter_rating, filter_sentiment, last_year
 from revlens.operators.joins import top_value_rows
 from revlens.plans.enrich import text_column
 from revlens.schema import NEGATIVE
 
 
-# Up to this many categories each get columns of their own in one aggregation.
-FUSED_CATEGORY_LIMIT = 50
-
-
-def _fits(taxonomy: Taxonomy) -> bool:
-    return len(taxonomy) <= FUSED_CATEGORY_LIMIT
+def _negative(df: DataFrame) -> DataFrame:
+    """Negative reviews, by the rating where there is one: that filter reaches the scan."""
+    return filter_rating(df, NEGATIVE) if "score" in df.columns else filter_sentiment(df, NEGATIVE)
 
 
 def taxonomy_match(df: DataFrame, taxonomy: Taxonomy, text: str | None = None, key: str = "review_id") -> DataFrame:
@@ -42,30 +39,12 @@ def taxonomy_match(df: DataFrame, taxonomy: Taxonomy, text: str | None = None, k
     )
 
 
-def _mentions_fused(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequence[str], example: Column | None):
-    extra = [] if example is None else [example.alias("example")]
-    kept = [*by, *([] if example is None else ["example"])]
-    # the hits get a projection of their own: found once per row, tested many times
-    flags = [F.array_contains("hits", i).alias(f"hit{i}") for i in range(len(taxonomy))]
-    rows = df.select(*by, *extra, matched_categories(text, taxonomy).alias("hits")).select(*kept, *flags)
-    totals = [F.count(F.lit(1)).alias("total")]
-    for i in range(len(taxonomy)):
-        totals.append(F.count_if(F.col(f"hit{i}")).alias(f"n{i}"))
-        if example is not None:
-            totals.append(F.min(F.when(F.col(f"hit{i}"), F.col("example"))).alias(f"e{i}"))
-    cells = []
-    for i, name in enumerate(taxonomy):
-        cell = [F.lit(i).alias("ordinal"), F.lit(name).alias("category"), F.col(f"n{i}").alias("mentions")]
-        if example is not None:
-            cell.append(F.col(f"e{i}").alias("example"))
-        cells.append(F.struct(*cell))
-    grouped = rows.groupBy(*by).agg(*totals) if by else rows.agg(*totals)
-    return grouped.select(*by, "total", F.explode(F.array(*cells)).alias("c")).select(*by, "total", "c.*")
-
-
-def _mentions_exploded(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequence[str], example: Column | None):
+def category_mentions(
+    df: DataFrame, taxonomy: Taxonomy, text: str, by: Sequence[str] = (), example: Column | None = None
+) -> DataFrame:
+    """Rows and mentions per category (and group), categories without hits included."""
     # position -1 stands for the row itself and so counts the group's size
-    hits = F.concat(F.array(F.lit(-1)), matched_categories(text, taxonomy))
+    hits = F.concat(F.array(F.lit(-1)), matched_categories(F.col(text), taxonomy))
     extra = [] if example is None else [example.alias("example")]
     cell = [F.count(F.lit(1)).alias("n")] + ([] if example is None else [F.min("example").alias("e")])
     counted = (
@@ -76,7 +55,7 @@ def _mentions_exploded(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequ
         .agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*[c for c in ("n", "e") if c == "n" or extra])))).alias("m"))
     )
     names = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("category")) for i, n in enumerate(taxonomy)])
-    out = counted.select(*by, "m", F.explode(names).alias("c")).select(
+    return counted.select(*by, "m", F.explode(names).alias("c")).select(
         *by,
         F.col("m")[F.lit(-1)]["n"].alias("total"),
         "c.ordinal",
@@ -84,15 +63,6 @@ def _mentions_exploded(df: DataFrame, taxonomy: Taxonomy, text: Column, by: Sequ
         F.coalesce(F.try_element_at("m", F.col("c.ordinal"))["n"], F.lit(0)).alias("mentions"),
         *([] if example is None else [F.try_element_at("m", F.col("c.ordinal"))["e"].alias("example")]),
     )
-    return out
-
-
-def category_mentions(
-    df: DataFrame, taxonomy: Taxonomy, text: str, by: Sequence[str] = (), example: Column | None = None
-) -> DataFrame:
-    """Rows and mentions per category (and group), categories without hits included."""
-    count = _mentions_fused if _fits(taxonomy) else _mentions_exploded
-    return count(df, taxonomy, F.col(text), list(by), example)
 
 
 def issue_breakdown(
@@ -105,7 +75,7 @@ def issue_breakdown(
 
     The example is the hit with the smallest key. Only its excerpt travels.
     """
-    negative = filter_sentiment(df, NEGATIVE)
+    negative = _negative(df)
     example = F.struct(F.col(key).alias("k"), snippet(F.col("content")).alias("text"))
     counted = category_mentions(negative, taxonomy, text or text_column(df), example=example)
     return counted.select(
@@ -120,7 +90,7 @@ def issue_breakdown(
 def issue_breakdown_compact(
     df: DataFrame, taxonomy: Taxonomy = COMPACT_TAXONOMY, text: str | None = None
 ) -> DataFrame:
-    negative = filter_sentiment(df, NEGATIVE)
+    negative = _negative(df)
     counted = category_mentions(negative, taxonomy, text or text_column(df))
     return counted.select(
         F.col("category").alias("issue"),
@@ -134,7 +104,7 @@ def version_issues(
     df: DataFrame, taxonomy: Taxonomy = ISSUE_TAXONOMY, text: str | None = None, top: int = 8
 ) -> DataFrame:
     """Last year, most reviewed versions, negative reviews: mentions per version and issue."""
-    rows = filter_sentiment(top_value_rows(last_year(df), "app_version", top), NEGATIVE)
+    rows = _negative(top_value_rows(last_year(df), "app_version", top))
     counted = category_mentions(rows, taxonomy, text or text_column(df), by=["app_version"])
     return counted.select(
         F.col("app_version").alias("version"),

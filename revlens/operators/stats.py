@@ -1,7 +1,7 @@
 """Does mentioning a topic go with higher or lower ratings?
 
 One scan gathers, for all topics at once, count, mean and variance of the ratings with
-and without the topic's keywords; everything after that works on one row per topic.
+and without the topic's keywords; everything after that works on two rows per topic.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from revlens.functions.labels import effect_size_band, impact_label, neg_log10,
 
 Topics = Mapping[int, Sequence[str]]
 ALPHA = 0.05
-# Up to this many topics get columns of their own in one aggregation.
-FUSED_TOPIC_LIMIT = 50
 
 
 def _label(keywords: Sequence[str], n: int = 5) -> str:
@@ -28,10 +26,8 @@ def _label(keywords: Sequence[str], n: int = 5) -> str:
 
 
 def topics_from_frame(frame: DataFrame) -> dict[int, list[str]]:
-    """Read a (topic_id, keywords) table of at most a few hundred topics."""
-    rows = frame.select("topic_id", "keywords").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 topics")
+    """Read a (topic_id, keywords) table; topics travel with the plan, as the caller's list does."""
+    rows = frame.select("topic_id", "keywords").collect()
     return {r.topic_id: list(r.keywords) for r in sorted(rows, key=lambda r: r.topic_id)}
 
 
@@ -39,64 +35,34 @@ def _named(topics: Topics) -> dict[str, Sequence[str]]:
     return {str(topic): words for topic, words in topics.items()}
 
 
-def _one_row(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
-    """All moments side by side in a single row, one conditional set per topic."""
+def topic_moments(df: DataFrame, topics: Topics, text: str = "content_clean", score: str = "score") -> DataFrame:
+    """Rows, ratings, mean and variance with and without each topic's keywords.
+
+    The text of a row is searched once; the row then counts once for every topic, on the one
+    side or the other, and map-side moments leave two rows per topic and task. The engine's
+    variance works with deviations from the mean, so ratings far from zero lose nothing.
+    """
     hits = matched_categories(F.col(text), _named(topics)).alias("hits")
-    flags = [F.array_contains("hits", i).alias(f"h{i}") for i in range(len(topics))]
-    rows = df.select(F.col(score).cast("double").alias("y"), hits).select("y", *flags)
-    aggregates, cells = [], []
-    for i, (topic, words) in enumerate(topics.items()):
-        cell = [F.lit(topic).alias("topic_id"), F.lit(_label(words)).alias("keywords")]
-        for side, hit in (("with", F.col(f"h{i}")), ("without", ~F.col(f"h{i}"))):
-            y = F.when(hit, F.col("y"))
-            for name, value in (
-                ("rows", F.count_if(hit)),
-                ("n", F.count(y)),
-                ("avg", F.avg(y)),
-                ("var", F.var_samp(y)),
-            ):
-                aggregates.append(value.alias(f"{side}_{name}_{i}"))
-                cell.append(F.col(f"{side}_{name}_{i}").alias(f"{side}_{name}"))
-        cells.append(F.struct(*cell))
-    return rows.agg(*aggregates).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _by_hit(df: DataFrame, topics: Topics, text: str, score: str) -> DataFrame:
-    """Many topics: sums per hit topic, the other side as the rest of the total."""
-    y = F.col(score).cast("double")
-    hits = F.concat(F.array(F.lit(-1)), matched_categories(F.col(text), _named(topics)))
-    sums = (
-        df.select(y.alias("y"), F.explode(hits).alias("i"))
-        .groupBy("i")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("y").alias("n"),
-            F.coalesce(F.sum("y"), F.lit(0.0)).alias("s"),
-            F.coalesce(F.sum(F.col("y") * F.col("y")), F.lit(0.0)).alias("q"),
-        )
+    rows = df.select(F.col(score).cast("double").alias("y"), hits)
+    sides = F.transform(
+        F.sequence(F.lit(0), F.lit(len(topics) - 1)),
+        lambda i: F.struct(i.alias("i"), F.array_contains("hits", i).alias("hit")),
+    )
+    sided = rows.select("y", F.explode(sides).alias("s")).select("y", "s.i", "s.hit")
+    moments = sided.groupBy("i", "hit").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("y").alias("n"), F.avg("y").alias("avg"), F.var_samp("y").alias("var")
+    )
+    by_topic = moments.groupBy("i").agg(
+        *[
+            F.max(F.when(F.col("hit") == (side == "with"), F.col(name))).alias(f"{side}_{name}")
+            for side in ("with", "without")
+            for name in ("rows", "n", "avg", "var")
+        ]
     )
-    total = sums.where("i = -1").select(F.struct("rows", "n", "s", "q")).scalar()
     topic_rows = [(i, int(t), _label(words)) for i, (t, words) in enumerate(topics.items())]
     listed = df.sparkSession.createDataFrame(topic_rows, "i int, topic_id int, keywords string")
-    filled = listed.join(sums, "i", "left").na.fill(0, ["rows", "n", "s", "q"]).withColumn("total", total)
-    out = [F.col("topic_id"), F.col("keywords")]
-    for side, pick in (
-        ("with", lambda c: F.col(c)),
-        ("without", lambda c: F.col(f"total.{c}") - F.col(c)),
-    ):
-        n, s, q = pick("n"), pick("s"), pick("q")
-        out += [
-            pick("rows").alias(f"{side}_rows"),
-            n.alias(f"{side}_n"),
-            F.try_divide(s, n).alias(f"{side}_avg"),
-            F.when(n > 1, F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))).alias(f"{side}_var"),
-        ]
-    return filled.select(*out)
-
-
-def topic_moments(df: DataFrame, topics: Topics, text: str = "content_clean", score: str = "score") -> DataFrame:
-    collect = _one_row if len(topics) <= FUSED_TOPIC_LIMIT else _by_hit
-    return collect(df, topics, text, score)
+    counts = [f"{side}_{name}" for side in ("with", "without") for name in ("rows", "n")]
+    return listed.join(by_topic, "i", "left").na.fill(0, counts).drop("i")
 
 
 def keyword_presence(df: DataFrame, topics: Topics, text: str = "content_clean", score: str = "score") -> DataFrame:

@@ -65,18 +65,6 @@ def read_reviews(
     return with_known_types(drop_index_column(raw), ts_format)
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Rebalance a table that sits in fewer files than there are task slots.
-
-    Text work is CPU-bound, and a Parquet file with one row group feeds a single task.
-    A table of many files is returned as it is: there the scan is parallel enough and
-    a shuffle of the raw text would only cost. Hashing the key instead of dealing rows
-    round-robin keeps partitions the same when a lost task is run again.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df
-
-
 def reviews_view(documents: DataFrame) -> DataFrame:
     """Review table over a (doc_id, text, lang, source, n_chars) document table.
 

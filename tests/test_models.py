@@ -246,13 +246,20 @@ def test_keyword_presence_invariants_and_welch(spark):
     assert summary[0] in (0, 3)
 
 
-def test_many_topics_take_the_other_way_with_equal_results(spark, monkeypatch):
-    df = topic_data(spark)
-    fused = rows(stats.topic_moments(df, TOPICS), "topic_id")
-    monkeypatch.setattr(stats, "FUSED_TOPIC_LIMIT", 0)
-    for a, b in zip(fused, rows(stats.topic_moments(df, TOPICS), "topic_id")):
-        for name in a:
-            assert (a[name] == pytest.approx(b[name])) if isinstance(a[name], float) else a[name] == b[name], name
+def test_moments_of_many_topics_far_from_zero(spark):
+    r = np.random.default_rng(3)
+    topics = {i: [f"k{i:02d}"] for i in range(60)}
+    texts = [" ".join(f"k{i:02d}" for i in range(60) if r.random() < 0.3) for _ in range(1000)]
+    y = 1e9 + r.integers(0, 4, 1000) / 1000
+    df = spark.createDataFrame([(t, float(v)) for t, v in zip(texts, y)], "content_clean string, score double")
+    got = {m["topic_id"]: m for m in rows(stats.topic_moments(df, topics))}
+    assert len(got) == 60
+    for i, (word,) in topics.items():
+        hit = np.array([word in t for t in texts])
+        for side, mine in (("with", y[hit]), ("without", y[~hit])):
+            assert got[i][f"{side}_rows"] == got[i][f"{side}_n"] == len(mine)
+            assert got[i][f"{side}_avg"] == pytest.approx(mine.mean(), rel=1e-15)
+            assert got[i][f"{side}_var"] == pytest.approx((mine - 1e9).var(ddof=1), rel=1e-3)
 
 
 def test_constant_groups_have_no_effect(spark):

@@ -86,6 +86,17 @@ def test_seeded_sample_is_exact_and_reproducible(spark, n):
     assert filters.seeded_sample(df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("sent", [100_000, 10])
+def test_no_class_is_lost_by_the_split(spark, monkeypatch, sent):
+    monkeypatch.setattr(filters, "SENT_CLASSES", sent)
+    df = spark.range(30_000).select(
+        F.col("id").cast("string").alias("review_id"), F.when(F.col("id") % 1500 > 0, F.concat(F.lit("c"), F.col("id") % 1500)).alias("sentiment_label")
+    )
+    counts = filters.stratified_split(df).groupBy("sentiment_label").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("test"))
+    got = {r["sentiment_label"]: (r["n"], r["test"]) for r in counts.collect()}
+    assert len(got) == 1500 and got.pop(None) == (20, 0) and set(got.values()) == {(20, 4)}
+
+
 def test_stratified_split_with_one_dominant_class(spark):
     df = spark.range(6000).select(
         F.col("id").cast("string").alias("review_id"),
@@ -236,21 +247,11 @@ def test_issue_breakdown_against_loops(enriched):
         assert got[name][1] == pytest.approx(expected[name][1])
 
 
-def test_large_taxonomies_give_the_same_result(enriched, monkeypatch):
-    small = {
-        "b": rows(issues.issue_breakdown(enriched), "ordinal"),
-        "c": rows(issues.issue_breakdown_compact(enriched, COMPACT_TAXONOMY), "ordinal"),
-        "v": rows(issues.version_issues(enriched), "version", "ordinal"),
-        "m": rows(issues.taxonomy_match(enriched, ISSUE_TAXONOMY), "review_id", "ordinal"),
-    }
-    monkeypatch.setattr(issues, "FUSED_CATEGORY_LIMIT", 0)
-    large = {
-        "b": rows(issues.issue_breakdown(enriched), "ordinal"),
-        "c": rows(issues.issue_breakdown_compact(enriched, COMPACT_TAXONOMY), "ordinal"),
-        "v": rows(issues.version_issues(enriched), "version", "ordinal"),
-        "m": rows(issues.taxonomy_match(enriched, ISSUE_TAXONOMY), "review_id", "ordinal"),
-    }
-    assert small == large
+def test_a_large_taxonomy_counts_like_loops(spark, enriched):
+    many = {f"c{i}": [w] for i, w in enumerate(["app", "slow", "login", "crash", "the", *[f"none{k}" for k in range(95)]])}
+    got = {r["category"]: r["mentions"] for r in rows(issues.category_mentions(enriched, many, "content_clean"))}
+    held = [r["content_clean"] or "" for r in rows(enriched)]
+    assert got == {c: sum(words[0] in t for t in held) for c, words in many.items()}
 
 
 def test_dominant_issue_is_a_row_of_version_issues(enriched):

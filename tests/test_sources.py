@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from revlens.sources import sinks
-from revlens.sources.reviews import drop_index_column, parse_timestamps, spread_small_input
+from revlens.sources.reviews import drop_index_column, parse_timestamps
 from tests.conftest import rows
 
 
@@ -62,11 +62,3 @@ def test_partitioned_write_prunes(spark, enriched, tmp_path):
     path = str(tmp_path / "by_year")
     sinks.write_table(enriched.select("review_id", "year"), path, partition_by=("year",))
     assert sinks.read_table(spark, path).where("year = 2023").count() == 1
-
-
-def test_small_tables_are_spread_and_keep_their_rows(spark, tmp_path):
-    path = str(tmp_path / "one")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    spread = spread_small_input(spark.read.parquet(path), "id")
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread.select(F.sum("id")).first()[0] == 499500
