@@ -26,8 +26,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from revlens.llm.common import batch_rows, keyed_texts, to_batches
+from revlens.llm.common import among, batch_rows, keyed_texts, stored, to_batches
 
 Q = 8
 EDIT_PERCENT = 8
@@ -212,7 +213,5 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns."""
-    from pyspark.sql import functions as F
-
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")
+    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
+    return among(docs, stored(found, "contaminated"), id_col, "left_anti")

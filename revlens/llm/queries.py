@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revlens.llm import decontaminate, fuzzy_lines, main_text, near_dups, packing, perplexity, substrings, surrogates, token_counts, toxicity
 from revlens.llm.common import table
+from revlens.llm.oracle import ORACLE
 
 
 def _vocabulary(name: str) -> str:
@@ -70,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
