@@ -6,7 +6,7 @@ tests check it against planted structure or brute force instead.
 
 from __future__ import annotations
 
-from catalog.queries import LEMMAS, LEXICON, TOPICS
+from catalog.queries import LEMMAS, LEXICON, MANY_TOPICS, TOPICS
 from revlens.functions.wordlists import (
     COMPACT_TAXONOMY,
     ENGLISH_STOPWORDS,
@@ -723,22 +723,28 @@ sql(
 w AS (SELECT doc_id, term, c * idf AS x FROM tf JOIN vocab USING (term))""",
     """SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 4) AS weight FROM w""",
 )
-_TOPIC_ROWS = [
-    (t, ", ".join(words[:5]), " OR ".join(f"contains(content_clean, {_q(w)})" for w in words))
-    for t, words in TOPICS.items()
-]
-_MOMENTS = (
-    CLEAN
-    + ",\nsides AS ("
-    + "\nUNION ALL\n".join(
-        f"SELECT {t} AS topic_id, {_q(label)} AS keywords, CAST(score AS DOUBLE) AS y, ({test}) AS hit FROM clean"
-        for t, label, test in _TOPIC_ROWS
-    )
-    + """),
+
+
+def _moments(topics: dict) -> str:
+    rows = [
+        (t, ", ".join(words[:5]), " OR ".join(f"contains(content_clean, {_q(w)})" for w in words))
+        for t, words in topics.items()
+    ]
+    return (
+        CLEAN
+        + ",\nsides AS ("
+        + "\nUNION ALL\n".join(
+            f"SELECT {t} AS topic_id, {_q(label)} AS keywords, CAST(score AS DOUBLE) AS y, ({test}) AS hit FROM clean"
+            for t, label, test in rows
+        )
+        + """),
 m AS (SELECT topic_id, keywords, count(*) FILTER (hit) AS n1, count(*) FILTER (NOT hit) AS n0,
   avg(y) FILTER (hit) AS m1, avg(y) FILTER (NOT hit) AS m0,
   var_samp(y) FILTER (hit) AS v1, var_samp(y) FILTER (NOT hit) AS v0 FROM sides GROUP BY 1, 2)"""
-)
+    )
+
+
+_MOMENTS = _moments(TOPICS)
 sql(
     "keyword_presence",
     _MOMENTS,
@@ -761,6 +767,70 @@ sql(
   WHEN abs({_D}) < 0.5 THEN 'small' WHEN abs({_D}) < 0.8 THEN 'medium' ELSE 'large' END AS band
 FROM m WHERE n1 > 1 AND n0 > 1""",
 )
+sql(
+    "topic_ttest_many",
+    _moments(MANY_TOPICS),
+    f"""SELECT topic_id, keywords, round(m1, 3) AS topic_avg, round(m0, 3) AS other_avg, n1 AS topic_n, n0 AS other_n,
+  round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 3) AS t_statistic,
+  round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 3) AS dof,
+  round({_D}, 3) AS cohens_d FROM m WHERE n1 > 1 AND n0 > 1""",
+)
+# two-sided p: one less twice the integral of the t density from 0 to |t|, by Simpson's rule
+_TESTED = (
+    _MOMENTS
+    + f""",
+t AS (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t,
+  pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS v,
+  {_D} AS d FROM m WHERE n1 > 1 AND n0 > 1),
+cells AS (SELECT topic_id, t, v, abs(t) / 4000 AS h, unnest(range(0, 4001)) AS k FROM t),
+areas AS (SELECT topic_id, sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + h * k * h * k / v, -(v + 1) / 2)) * max(h) / 3 AS area
+  FROM cells GROUP BY 1),
+tested AS (SELECT t.*, greatest(1 - 2 * area, 0) AS p FROM t JOIN areas USING (topic_id))"""
+)
+_TEST_COLUMNS = """topic_id, keywords, round(m1, 4) AS topic_avg, round(m0, 4) AS other_avg, n1 AS topic_n, n0 AS other_n,
+  round(t, 4) AS t_statistic, round(v, 4) AS dof, round(d, 4) AS cohens_d, round(p, 6) AS p_value"""
+
+
+def _impact(alpha: float) -> str:
+    return f"""p < {alpha} AS is_significant, CASE WHEN p >= {alpha} THEN 'NOT SIGNIFICANT' WHEN m1 < m0 THEN 'NEGATIVE'
+  ELSE 'POSITIVE' END AS impact"""
+
+
+sql("topic_ttest_p", _TESTED, f"SELECT {_TEST_COLUMNS}, {_impact(0.05)} FROM tested")
+sql(
+    "impact_summary",
+    _TESTED,
+    f"""SELECT {_TEST_COLUMNS}, {_impact(0.9)}, CASE WHEN abs(d) < 0.2 THEN 'negligible'
+  WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_band,
+  round(m1 - m0, 4) AS star_difference FROM tested WHERE p < 0.9""",
+)
+sql(
+    "impact_chart_frames",
+    _TESTED,
+    """SELECT topic_id, round(p, 4) AS p_value, round(CASE WHEN p > 0 THEN -log10(p) END, 4) AS neg_log10_p,
+  round(-log10(0.05), 4) AS threshold, p < 0.05 AS significant FROM tested""",
+)
+sql("impact_chart_by_mean", _TESTED, f"SELECT topic_id, round(m1, 4) AS topic_avg, {BAND.format('m1')} AS band FROM tested")
+sql("impact_chart_by_d", _TESTED, "SELECT topic_id, round(d, 4) AS cohens_d, d < 0 AS lower FROM tested")
+sql("impact_chart_group_sizes", _TESTED, "SELECT topic_id, n1 AS topic_n, n0 AS other_n FROM tested")
+_SHOWN = """review_id, content, score, strftime(review_ts, '%Y-%m-%d %H:%M:%S') AS review_ts, app_version, reply_content,
+  strftime(replied_at, '%Y-%m-%d %H:%M:%S') AS replied_at"""
+sql("read_reviews", REVIEWS, f"SELECT {_SHOWN} FROM reviews")
+sql("drop_index_column", REVIEWS, "SELECT review_id, score FROM reviews")
+sql(
+    "write_and_append",
+    REVIEWS,
+    "SELECT review_id, content, score, strftime(review_ts, '%Y-%m-%d %H:%M:%S') AS review_ts FROM reviews",
+)
+sql(
+    "saved_predictions",
+    FACTS,
+    """SELECT doc_id, ['Negative', 'Neutral', 'Positive'][doc_id % 4 % 3 + 1] AS prediction, 'rule' AS model,
+  (SELECT round(avg(CASE WHEN sentiment_label = ['Negative', 'Neutral', 'Positive'][doc_id % 4 % 3 + 1] THEN 1.0 ELSE 0 END), 4)
+   FROM facts) AS accuracy FROM facts""",
+)
+sql("text_column_fallback", CLEAN, "SELECT doc_id, content_clean AS chosen, 'none' AS absent FROM clean")
 sql(
     "stratified_split",
     FACTS,
@@ -768,3 +838,12 @@ sql(
     ORDER BY md5(review_id || ':42'), review_id) <= round(0.2 * count(*) OVER (PARTITION BY sentiment_label))
   THEN 'test' ELSE 'train' END AS split FROM facts""",
 )
+sql(
+    "cv_folds",
+    FACTS
+    + """,
+r AS (SELECT doc_id, sentiment_label, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5(review_id || ':42'), review_id) AS r,
+  count(*) OVER (PARTITION BY sentiment_label) AS c FROM facts)""",
+    """SELECT doc_id, sentiment_label, CAST((r > round(c * 0.2)) AS INT) + CAST((r > round(c * 0.4)) AS INT)
+  + CAST((r > round(c * 0.6)) AS INT) + CAST((r > round(c * 0.8)) AS INT) AS fold FROM r""",
+)

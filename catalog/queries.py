@@ -6,6 +6,7 @@ as text and doubles rounded, so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +32,12 @@ from revlens.operators import (
 )
 from revlens.plans import enrich
 from revlens.plans.topic_impact import topic_impact as run_topic_impact
+from revlens.schema import RAW_COLUMNS, TIMESTAMP_FORMAT
+from revlens.session import shared_folder
+from revlens.sources import sinks
+from revlens.sources.reviews import drop_index_column as drop_row_numbers
 from revlens.sources.reviews import parse_timestamps as parse_columns
+from revlens.sources.reviews import read_reviews as read_review_table
 from revlens.sources.reviews import reviews_view as as_reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +171,64 @@ def missing_values(spark, sf_dir):
     return rounded(profile.missing_values(reviews(spark, sf_dir)), "missing_pct")
 
 
+def _work_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_dump(df: DataFrame) -> DataFrame:
+    """A review table under the column names and formats of a raw dump."""
+    raw = {alias: name for name, (alias, _) in RAW_COLUMNS.items()}
+    shown = {c: F.date_format(c, TIMESTAMP_FORMAT) for c in ("review_ts", "replied_at")}
+    return df.withColumns(shown).select(*[F.col(c).alias(raw[c]) for c in df.columns if c in raw])
+
+
+def _as_shown(df: DataFrame) -> DataFrame:
+    out = df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("review_ts", "replied_at")})
+    return out.select("review_id", "content", "score", "review_ts", "app_version", "reply_content", "replied_at")
+
+
+@query
+def read_reviews(spark, sf_dir):
+    """A dump with row numbers, written as CSV and read back."""
+    path = _work_path(spark, "dump")
+    numbered = _as_dump(reviews(spark, sf_dir)).select(F.monotonically_increasing_id().alias("Unnamed: 0"), "*")
+    sinks.write_table(numbered, path, "csv")
+    return _as_shown(read_review_table(spark, path))
+
+
+@query
+def drop_index_column(spark, sf_dir):
+    numbered = reviews(spark, sf_dir).select(F.col("doc_id").alias("_c0"), F.col("doc_id").alias("Unnamed: 0"), "review_id", "score")
+    return drop_row_numbers(numbered)
+
+
+@query
+def write_and_append(spark, sf_dir):
+    """Two halves of the table, written and appended, read as one."""
+    path, df = _work_path(spark, "halves"), reviews(spark, sf_dir)
+    sinks.write_table(df.where("lang = 'en'"), path, partition_by=("lang",))
+    sinks.append_table(df.where("lang <> 'en' OR lang IS NULL"), path, partition_by=("lang",))
+    return _as_shown(sinks.read_table(spark, path)).select("review_id", "content", "score", "review_ts")
+
+
+@query
+def saved_predictions(spark, sf_dir):
+    path = _work_path(spark, "models")
+    shown = predictions(spark, sf_dir).select("doc_id", "prediction", F.lit("rule").alias("model"))
+    metrics = rounded(evaluate.weighted_prf(predictions(spark, sf_dir)), "accuracy").select("accuracy")
+    sinks.save_model_results(path, {}, metrics, shown)
+    _, loaded = sinks.load_model_results(spark, path)
+    return sinks.load_predictions(spark, path).crossJoin(F.broadcast(loaded))
+
+
+@query
+def text_column_fallback(spark, sf_dir):
+    """The text that reports read where the column without stopwords is missing."""
+    bare = cleaned(spark, sf_dir)
+    fallback = enrich.column_or(bare, "content_clean_nostop", F.col(enrich.text_column(bare)))
+    return bare.select("doc_id", fallback.alias("chosen"), enrich.column_or(bare, "no_such", F.lit("none")).alias("absent"))
+
+
 # ---------------------------------------------------------------- projections
 
 
@@ -707,19 +771,53 @@ def cohens_d(spark, sf_dir):
     return out.select("topic_id", r4("cohens_d").alias("cohens_d"), labels.effect_size_band(F.col("cohens_d")).alias("band"))
 
 
+MANY_TOPICS = {i: [a + b] for i, (a, b) in enumerate([(a, b) for a in "aeioun" for b in "nrstldcmhe"])}
+
+
+def _test_columns(df: DataFrame) -> DataFrame:
+    out = rounded(df, "topic_avg", "other_avg", "t_statistic", "dof", "cohens_d")
+    return rounded(out, "p_value", digits=6)
+
+
+@query
+def topic_ttest_many(spark, sf_dir):
+    out = stats.topic_statistics(cleaned(spark, sf_dir), MANY_TOPICS)
+    return rounded(out, "topic_avg", "other_avg", "t_statistic", "dof", "cohens_d", digits=3)
+
+
 @query
 def topic_ttest_p(spark, sf_dir):
-    return stats.topic_ttest(cleaned(spark, sf_dir), TOPICS)
+    return _test_columns(stats.topic_ttest(cleaned(spark, sf_dir), TOPICS))
 
 
 @query
 def impact_summary(spark, sf_dir):
-    return stats.impact_summary(stats.topic_ttest(cleaned(spark, sf_dir), TOPICS, alpha=0.9))
+    out = stats.impact_summary(stats.topic_ttest(cleaned(spark, sf_dir), TOPICS, alpha=0.9))
+    return rounded(_test_columns(out), "star_difference")
+
+
+def _chart_frame(spark, sf_dir, name):
+    return stats.impact_chart_frames(stats.topic_ttest(cleaned(spark, sf_dir), TOPICS))[name]
 
 
 @query
 def impact_chart_frames(spark, sf_dir):
-    return stats.impact_chart_frames(stats.topic_ttest(cleaned(spark, sf_dir), TOPICS))["by_p"]
+    return rounded(_chart_frame(spark, sf_dir, "by_p"), "p_value", "neg_log10_p", "threshold")
+
+
+@query
+def impact_chart_by_mean(spark, sf_dir):
+    return rounded(_chart_frame(spark, sf_dir, "by_mean"), "topic_avg")
+
+
+@query
+def impact_chart_by_d(spark, sf_dir):
+    return rounded(_chart_frame(spark, sf_dir, "by_d"), "cohens_d")
+
+
+@query
+def impact_chart_group_sizes(spark, sf_dir):
+    return _chart_frame(spark, sf_dir, "group_sizes")
 
 
 @query
@@ -736,30 +834,29 @@ def stratified_split(spark, sf_dir):
     return filters.stratified_split(facts(spark, sf_dir)).select("doc_id", "sentiment_label", "split")
 
 
-def _quick_trainers():
-    """All five learners on all rows, with fewer rounds than the defaults."""
-    return {
-        "Logistic Regression": classify.logistic_regression(max_iter=60),
-        "Random Forest": classify.random_forest(trees=20, max_depth=5),
-        "SVM": classify.linear_svm(max_iter=30),
-        "Naive Bayes": classify.naive_bayes(),
-        "Gradient Boosting": classify.gradient_boosting(stages=5),
-    }
+@query
+def cv_folds(spark, sf_dir):
+    return filters.stratified_folds(facts(spark, sf_dir)).select("doc_id", "sentiment_label", "fold")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts of the documents whose quality is labelled: the label can be learned."""
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    good = F.when(F.col("quality") == 1, "Positive").otherwise("Negative")
+    return cleaned(spark, sf_dir).join(known, "doc_id").withColumn("sentiment_label", good)
 
 
 @query
 def train_models(spark, sf_dir):
-    return classify.train_models(cleaned(spark, sf_dir), _quick_trainers())[1]
+    """All five learners with their full number of rounds."""
+    return classify.train_models(labelled(spark, sf_dir), folds=0)[1]
 
 
 @query
 def best_model(spark, sf_dir):
-    trainers = {n: t for n, t in _quick_trainers().items() if n in ("Logistic Regression", "Naive Bayes")}
-    return classify.best_model(classify.train_models(cleaned(spark, sf_dir), trainers)[1])
+    return classify.best_model(classify.train_models(labelled(spark, sf_dir), folds=0)[1])
 
 
 @query
 def cross_validate(spark, sf_dir):
-    trainers = {n: t for n, t in _quick_trainers().items() if n in ("Logistic Regression", "Naive Bayes")}
-    scores = classify.cross_validate(cleaned(spark, sf_dir), trainers)
-    return classify.cv_summary(scores)
+    return classify.cv_summary(classify.cross_validate(labelled(spark, sf_dir)))

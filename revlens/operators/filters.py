@@ -143,6 +143,31 @@ def stratified_split(
     return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("g", "cut")
 
 
+def stratified_folds(
+    df: DataFrame, label: str = "sentiment_label", key: str = "review_id", folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """Add ``fold`` (0 to folds - 1); every class is spread evenly over the folds.
+
+    Of a class of c rows the first round(c / folds) in hash order are fold 0, and so on. Rows
+    without a label are in fold 0.
+    """
+    cuts = None
+    for k in range(1, folds):
+        # a bound that admits no row yet stays below every row
+        found = _cut_points(df, key, seed, F.col(label), lambda c, k=k: F.round(c * F.lit(k / folds)).cast("bigint"))
+        found = found.select("g", F.col("cut"))
+        cuts = found if cuts is None else cuts.unionByName(found)
+    if cuts is None:
+        return df.withColumn("fold", F.lit(0))
+    by_class = cuts.groupBy("g").agg(F.collect_list("cut").alias("cuts"), F.count(F.lit(1)).alias("cut_count"))
+    few = by_class.limit(SENT_CLASSES + 1).collect()
+    listed = F.broadcast(df.sparkSession.createDataFrame(few, by_class.schema)) if len(few) <= SENT_CLASSES else by_class
+    position = F.struct(sample_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    placed = df.join(listed, F.col(label) == F.col("g"), "left")
+    passed = F.size(F.filter("cuts", lambda cut: cut < position)) + (folds - 1 - F.col("cut_count"))
+    return placed.withColumn("fold", F.coalesce(passed, F.lit(0)).cast("int")).drop("g", "cuts", "cut_count")
+
+
 def hash_split(df: DataFrame, key: str = "review_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Split by a hash threshold alone: no shuffle, shares hold on average."""
     bucket = hash_fold(key, 10_000, seed)

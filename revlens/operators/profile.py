@@ -32,7 +32,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     names = list(columns or numeric_columns(df))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    # not-a-number counts as missing, in the moments as in the quartiles
+    doubles = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names])
     moments = (
         doubles.unpivot([], names, "column", "value")
         .where(F.col("value").isNotNull())

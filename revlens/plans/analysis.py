@@ -41,11 +41,14 @@ def analyse_reviews(
 ) -> dict[str, DataFrame]:
     """Clean, profile, score, find topics and their impact, train classifiers, list issues.
 
-    The enriched reviews are written once; every later step scans the few columns it
-    needs from that table. ``review_id`` has to be unique.
+    The text is cleaned once and the enriched reviews are written; the word lists are applied
+    to that table, and every later step scans the few columns it needs. ``review_id`` has to
+    be unique.
     """
     spark = raw.sparkSession
-    sinks.write_table(with_lexicon_scores(enrich(raw), valence, polarity), f"{path}/reviews")
+    sinks.write_table(enrich(raw), f"{path}/enriched")
+    enriched = sinks.read_table(spark, f"{path}/enriched")
+    sinks.write_table(with_lexicon_scores(enriched, valence, polarity), f"{path}/reviews")
     reviews = sinks.read_table(spark, f"{path}/reviews")
     out = {
         "shape": profile.table_shape(raw),

@@ -6,6 +6,8 @@ somebody else has built.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -28,15 +30,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Directory for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    ``fallback`` is only taken where the session names none, as in local tests.
+    Only a session that names none, as in local tests, gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    target = named or fallback
-    if not target:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="revlens-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    target = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(target)
     return target

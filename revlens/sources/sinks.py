@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.session import shared_folder
+
 
 def _writer(df: DataFrame, fmt: str, partition_by: tuple[str, ...]):
     writer = df.write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
@@ -32,6 +36,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.format(fmt).load(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the folder all executors share, and read from there.
+
+    For what several later jobs read: it survives lost executors and needs no release.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_model_results(
     path: str, models: Mapping[str, PipelineModel], metrics: DataFrame, predictions: DataFrame | None = None
 ) -> None:

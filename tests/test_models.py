@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import classify, ensemble, evaluate, features, lexicon, scoring, stats, topics
+from revlens.operators import classify, ensemble, evaluate, features, filters, lexicon, scoring, stats, topics
 from revlens.plans.topic_impact import save_topic_impact, topic_impact
 from revlens.sources import sinks
 from tests.conftest import rows
@@ -298,9 +298,13 @@ def test_classifiers_learn_and_survive_saving(spark, tmp_path):
         "Naive Bayes": classify.naive_bayes(),
         "Gradient Boosting": classify.gradient_boosting(3),
     }
-    models, metrics, predictions = classify.train_models(df, trainers)
+    models, metrics, predictions = classify.train_models(df, trainers, folds=2)
     table = {r["model"]: r for r in rows(metrics)}
     assert set(table) == set(trainers) and all(r["f1_score"] > 0.9 for r in table.values())
+    for r in table.values():
+        assert len(r["cv_scores"]) == 2 and r["cv_mean"] == pytest.approx(sum(r["cv_scores"]) / 2)
+    # what is returned reads written tables only, not the texts again
+    assert "LocalTableScan" not in predictions._jdf.queryExecution().optimizedPlan().toString()
     assert predictions.count() == 5 * 40
     assert classify.best_model(metrics).first()["f1_score"] == max(r["f1_score"] for r in table.values())
     keep = {"Naive Bayes": models["Naive Bayes"]}
@@ -319,3 +323,15 @@ def test_cross_validation(spark):
     scores = classify.cross_validate(df, {"Naive Bayes": classify.naive_bayes()}, folds=3)
     row = classify.cv_summary(scores).first()
     assert len(row.cv_scores) == 3 and row.cv_mean > 0.95
+
+
+def test_stratified_folds_spread_every_class(spark):
+    df = spark.range(1003).select(
+        F.col("id").cast("string").alias("review_id"), F.when(F.col("id") < 13, "rare").when(F.col("id") < 1000, "common").alias("sentiment_label")
+    )
+    counts = filters.stratified_folds(df, folds=5).groupBy("sentiment_label", "fold").count().collect()
+    got = {(r.sentiment_label, r.fold): r["count"] for r in counts}
+    assert {got[("rare", k)] for k in range(5)} == {2, 3} and {got[("common", k)] for k in range(5)} <= {197, 198}
+    assert got[(None, 0)] == 3 and len(got) == 11
+    few = filters.stratified_folds(df.where("sentiment_label = 'rare'").limit(2), folds=5)
+    assert few.count() == 2

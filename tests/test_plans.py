@@ -63,4 +63,4 @@ def test_rating_filter_reaches_the_parquet_scan(spark, analysed, folder):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
-    assert session.ensure_checkpoint_dir(spark, "/nowhere") == named
+    assert session.ensure_checkpoint_dir(spark) == session.shared_folder(spark) == named
