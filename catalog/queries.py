@@ -706,10 +706,10 @@ def vocabulary(spark, sf_dir):
 
 
 def _topic_vectors(spark, sf_dir):
-    # read twice or more: for the vocabulary and for the vectors
-    rows = lemmatized(spark, sf_dir).select("doc_id", "content_lemmatized").persist()
+    # texts are read for the vocabulary and for the vectors, vectors in every round: each is written once
+    rows = sinks.stored(lemmatized(spark, sf_dir).select("doc_id", "content_lemmatized"), "lemmas")
     model = features.fit_tfidf(rows, "content_lemmatized", "features", 1000, 5, 0.7)
-    return model.transform(rows), features.terms_of(model)
+    return sinks.stored(model.transform(rows).select("doc_id", "features"), "topic-vectors"), features.terms_of(model)
 
 
 @query
@@ -721,14 +721,13 @@ def tfidf_terms(spark, sf_dir):
 @query
 def lda_topics(spark, sf_dir):
     vectors, terms = _topic_vectors(spark, sf_dir)
-    model = topics.fit_lda(vectors.select("features").persist())
+    model = topics.fit_lda(vectors.select("features"))
     return topics.lda_topic_terms(model, terms, 10)
 
 
 @query
 def dominant_topic(spark, sf_dir):
     vectors, _ = _topic_vectors(spark, sf_dir)
-    vectors = vectors.select("doc_id", "features").persist()
     model = topics.fit_lda(vectors.select("features"))
     return topics.dominant_topic(model, vectors).select("doc_id", "dominant_topic")
 
@@ -736,7 +735,7 @@ def dominant_topic(spark, sf_dir):
 @query
 def topic_keywords(spark, sf_dir):
     vectors, terms = _topic_vectors(spark, sf_dir)
-    model = topics.fit_lda(vectors.select("features").persist())
+    model = topics.fit_lda(vectors.select("features"))
     ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
     listed = topics.lda_topic_terms(model, terms, 15).groupBy("topic").agg(ranked.alias("ranked"))
     keywords = F.transform("ranked", lambda x: x["term"])
@@ -823,7 +822,7 @@ def impact_chart_group_sizes(spark, sf_dir):
 @query
 def topic_impact(spark, sf_dir):
     rows = enrich.enrich(texts(spark, sf_dir)).select("review_id", "score", "content_clean", "content_lemmatized")
-    return run_topic_impact(rows.persist()).tests
+    return run_topic_impact(sinks.stored(rows, "impact-texts")).tests
 
 
 # ---------------------------------------------------------------- classifiers
