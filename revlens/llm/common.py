@@ -48,14 +48,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SENT_IDS = 500_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def among(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose id is among the distinct ``ids`` (or is not, by "left_anti").
 
     A null id is an id like any other.
     """
-    few = ids.select(F.col(on).alias("__id"))
+    name = free_name(df, "id")
+    few = ids.select(F.col(on).alias(name))
     few = F.broadcast(few) if few.count() <= SENT_IDS else few
-    return df.join(few, df[on].eqNullSafe(F.col("__id")), how)
+    return df.join(few, df[on].eqNullSafe(F.col(name)), how)
+
+
+def dealt_anew(df: DataFrame, column: str) -> DataFrame:
+    """The same rows, with the engine unaware that they are already dealt out by ``column``.
+
+    Adaptive execution splits a hot key of a join only where both sides come straight from a
+    shuffle; counts that have just been grouped by the key would not.
+    """
+    return df.withColumn(column, F.col(column).bitwiseXOR(F.lit(0).cast("long")))
 
 
 def whole_text(column: str = "text") -> Column:

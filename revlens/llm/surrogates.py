@@ -15,7 +15,8 @@ collide one keeps its surrogate and the others draw again, until all are distinc
 of entities is grouped and joined on Spark; only texts with entities are joined with it.
 
 Null and empty texts stay as they are. Texts are read whole. Repeated rows get equal results.
-An empty table gives an empty table. Further columns are carried along.
+An empty table gives an empty table. Further columns are carried along; one named n_entities is
+replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stored
+from revlens.llm.common import free_name, stored
 
 #: Patterns of what counts as an entity. None can begin inside a word, and what may repeat is
 #: bounded, so a text is read in linear time.
@@ -222,24 +223,26 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """``docs`` with surrogates in the text, and n_entities added."""
     text = F.col(text_col)
     found = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    with_any, without = keyed.filter(found), keyed.filter(~found)
-    mentions = with_any.select("__row", F.posexplode(F.regexp_extract_all(text_col, F.lit(ANY), 0)).alias("__at", "mention"))
+    with_any, without = docs.filter(found), docs.filter(~found)
+    key_of_row = F.xxhash64(id_col, text_col)
+    mentions = with_any.select(key_of_row.alias("row"), F.posexplode(F.regexp_extract_all(text_col, F.lit(ANY), 0)).alias("at", "mention"))
     mentions = stored(mentions.distinct(), "mentions")
     new = stored(replacements(mentions, key), "replacements")
-    placed = mentions.join(new, "mention").groupBy("__row").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__at", "replacement"))), lambda r: r["replacement"]).alias("__new"),
-        F.array_distinct(F.flatten(F.collect_list("names"))).alias("__names"),
+    row, put, persons = (free_name(docs, n) for n in ("row", "new", "names"))
+    placed = mentions.join(new, "mention").groupBy(F.col("row").alias(row)).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "replacement"))), lambda r: r["replacement"]).alias(put),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias(persons),
     )
     # the text between the entities, and then a replacement for each
     between = F.split(text, ANY, -1)
-    whole = F.array_join(F.flatten(F.transform(between, lambda b, k: F.array(b, F.coalesce(F.get("__new", k), F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.transform(between, lambda b, k: F.array(b, F.coalesce(F.get(put, k), F.lit(""))))), "")
 
     def rename(done: Column, name: Column) -> Column:
         return F.regexp_replace(done, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name["from"], F.lit(r"(?![\p{L}\p{N}])")), name["to"])
 
-    renamed = F.when(F.size("__names") > 0, F.aggregate("__names", whole, rename)).otherwise(whole)
-    changed = with_any.join(placed, "__row").select(
-        *[renamed.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("__new").alias("n_entities")
+    renamed = F.when(F.size(persons) > 0, F.aggregate(persons, whole, rename)).otherwise(whole)
+    kept = [c for c in docs.columns if c != "n_entities"]
+    changed = with_any.join(placed, key_of_row == F.col(row)).select(
+        *[renamed.alias(c) if c == text_col else F.col(c) for c in kept], F.size(put).alias("n_entities")
     )
-    return changed.unionByName(without.select(*docs.columns, F.lit(0).alias("n_entities")))
+    return changed.unionByName(without.select(*kept, F.lit(0).alias("n_entities")))
