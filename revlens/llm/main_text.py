@@ -292,6 +292,8 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str,
 
     def header() -> Part:
         inner = f"<a href='/'>{line(1, 3)}</a>" if r.random() < 0.5 else line(1, 5)
+        if r.random() < 0.3:
+            return f"<header class='{r.choice(('top', 'site', 'head'))}'><h1>{inner}</h1></header>", [0]
         if r.random() < 0.5:
             return f"<header><div class='logo'>{inner}</div><p>{line(2, 8)}</p></header>", [0, 0]
         return f"<div id='{r.choice(('header', 'masthead', 'banner'))}'>{inner}</div>", [0]
@@ -335,9 +337,17 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str,
         if r.random() < 0.8:
             body.append(f"<{(h := r.choice(('h1', 'h1', 'h2')))}>{line(1, 12, r.choice(('', '.')))}</{h}>")
             labels.append(1)
+        all_divs = r.random() < 0.15
         for _ in range(r.choice((0, 1, 2, 3, 5, 8, 14, 25))):
             kind = r.random()
-            if kind < 0.72:
+            if all_divs:
+                body.append(f"<div>{prose()}</div>")
+            elif kind < 0.04:
+                body.append(f"<table><tr><td>{line(1, 4)}</td><td>{line(1, 3)}</td></tr></table>")
+                labels.append(1)
+            elif kind < 0.07:
+                body.append(f"<figure><img src='/{word()}'><figcaption>{line(2, 9, '.')}</figcaption></figure>")
+            elif kind < 0.72:
                 body.append(f"<p>{prose()}</p>")
             elif kind < 0.8:
                 body.append(f"<p><b>{prose()}<br>")
@@ -360,7 +370,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str,
             labels.append(1)
         a, b = r.choice(
             (("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="content">', "</div>"),
-             ('<div id="main"><div class="entry">', "</div></div>"), ('<section class="article-body">', "</section>"), ("<div>", "</div>"), ('<div class="post"><div>', "</div></div>"))
+             ('<div id="main"><div class="entry">', "</div></div>"), ('<section class="article-body">', "</section>"), ("<div>", "</div>"), ('<div class="text">', "</div>"), ('<div class="story">', "</div>"), ('<div id="page-content">', "</div>"), ('<div class="post"><div>', "</div></div>"))
         )
         if r.random() < 0.1:
             more, zero = comments()
