@@ -1,14 +1,46 @@
-"""Exact quantiles without gathering a group's values in one task."""
+"""Exact quantiles without moving or ordering a table's values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SPLITS = 64
-_SALTS = 32
+# Ranges a step cuts an interval of values into, and steps before the rest is put in order.
+SPLITS = 64
+STEPS = 2
+# Groups times value columns whose range borders are sent to every task; more are joined by shuffle.
+SENT_GROUPS = 10_000
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, keys: list[str], sent) -> tuple[DataFrame, DataFrame]:
+    """Rows with the range they fall into, and the ranges that hold wanted ranks.
+
+    Borders are approximate quantiles of an interval's values; the counts of rows between
+    borders are exact. Both are combined in the tasks that read the rows.
+    """
+    rows = rows.join(sent(wanted.select(*keys)), keys, "left_semi")
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", [i / SPLITS for i in range(1, SPLITS)], 10_000).alias("edges"))
+    below = F.size(F.filter("edges", lambda edge: edge < F.col("value")))
+    ranged = rows.join(sent(edges), keys).select(*keys, below.alias("range"), "value")
+    in_order = Window.partitionBy(*keys).orderBy("range")
+    sizes = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.withColumn("before", F.sum("m").over(in_order) - F.col("m"))
+
+    def here(w: Column) -> Column:
+        return (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("m"))
+
+    def moved(w: Column) -> Column:
+        return F.struct(w["i"].alias("i"), (w["rank"] - F.col("before")).alias("rank"), w["weight"].alias("weight"))
+
+    held = sizes.join(wanted, keys).withColumn("wanted", F.transform(F.filter("wanted", here), moved))
+    interval = (F.col("interval") * (SPLITS + 1) + F.col("range")).alias("interval")
+    others = [k for k in keys if k != "interval"]
+    return (
+        ranged.select(*others, interval, "value"),
+        held.where(F.size("wanted") > 0).select(*others, interval, "wanted"),
+    )
 
 
 def exact_quantiles(
@@ -16,76 +48,32 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...`` per group and value column.
 
-    Equal values collapse to a count before any ordering. Approximate split points cut
-    what is left into ranges, range counts tell which ranges hold the wanted ranks, and
-    only those few ranges are put in order, each on its own.
+    Step by step the interval that holds a wanted rank is cut into ranges, until what is left
+    is a few thousandths of a thousandth of the rows; only that is collapsed to distinct
+    values and put in order. Every step reads the rows where they stand and shuffles counts.
     """
-    by = list(by)
     group = [*by, "column"]
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(
-        by, list(values), "column", "value"
-    )
-    counts = (
-        long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*group, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # reading n here as well lets Spark reuse the shuffle of the counts in every branch
-    edges = counts.groupBy(*group).agg(
-        F.percentile_approx("value", [i / _SPLITS for i in range(1, _SPLITS)], 10_000).alias("edges"),
-        F.sum("n").alias("total"),
-    )
-    if by:
-        # a group may hold most of the values, so its rows are spread over several keys
-        salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-        edges = edges.withColumn("salt", F.explode(salts))
-        salted = counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int"))
-        paired = salted.join(edges, [*group, "salt"])
-    else:
-        # one row per value column
-        paired = counts.join(F.broadcast(edges), group)
-    ranged = paired.select(
-        *group,
-        "value",
-        "n",
-        "total",
-        F.size(F.filter("edges", lambda edge: edge < F.col("value"))).alias("range"),
-    )
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(list(by), list(values), "column", "value")
+    rows = long.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("interval", F.lit(0).cast("bigint"))
+    keys = [*group, "interval"]
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    few = totals.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
+    sent = F.broadcast if few else (lambda frame: frame)
 
-    # at most _SPLITS rows per group from here on
-    in_order = Window.partitionBy(*group).orderBy("range")
-    sizes = (
-        ranged.groupBy(*group, "range")
-        .agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-        .withColumn("before", F.sum("m").over(in_order) - F.col("m"))
-    )
-    wanted = []
+    ranks = []
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("total") - 1)
         low = F.floor(position)
-        part = position - low
-        for rank, weight in ((low, 1 - part), (low + 1, part)):
-            wanted.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    rank.cast("bigint").alias("rank"),
-                    weight.cast("double").alias("weight"),
-                )
-            )
-    held = sizes.withColumn(
-        "wanted",
-        F.filter(
-            F.array(*wanted),
-            lambda w: (w["rank"] >= F.col("before"))
-            & (w["rank"] < F.col("before") + F.col("m"))
-            & (w["weight"] > 0),
-        ),
-    ).where(F.size("wanted") > 0)
+        for rank, weight in ((low, 1 - (position - low)), (low + 1, position - low)):
+            ranks.append(F.struct(F.lit(i).alias("i"), rank.cast("bigint").alias("rank"), weight.cast("double").alias("weight")))
+    wanted = totals.select(*keys, F.filter(F.array(*ranks), lambda w: w["weight"] > 0).alias("wanted"))
+    for _ in range(STEPS):
+        rows, wanted = _narrowed(rows, wanted, keys, sent)
 
-    in_range = Window.partitionBy(*group, "range").orderBy("value")
+    in_interval = Window.partitionBy(*keys).orderBy("value")
+    counts = rows.join(sent(wanted), keys).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
     picked = (
-        ranged.join(held.select(*group, "range", "before", "wanted"), [*group, "range"])
-        .withColumn("first", F.col("before") + F.sum("n").over(in_range) - F.col("n"))
+        counts.withColumn("first", F.sum("n").over(in_interval) - F.col("n"))
         .withColumn("w", F.explode("wanted"))
         .where((F.col("w.rank") >= F.col("first")) & (F.col("w.rank") < F.col("first") + F.col("n")))
     )
