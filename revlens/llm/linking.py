@@ -4,7 +4,8 @@ Items are posted under keys; items that share a key may be similar. In a star ro
 names one centre, and only (centre, member) pairs are verified. Links found join items into
 components. A key whose items all lie in one component has nothing left to tell. What remains
 after the star rounds are keys that still hold several components: there, and only between
-different components, all pairs are verified, so no component is split that a link would join.
+different components, all pairs are candidates (or those that a closer search names), so no
+component is split that a link would join.
 """
 
 from __future__ import annotations
@@ -59,10 +60,24 @@ def with_component(df: DataFrame, comps: DataFrame | None) -> DataFrame:
     return df.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
-    """(components, verified links) of items posted as (key, id).
+def pairs_of_keys(open_keys: DataFrame) -> DataFrame:
+    """(a, b): all pairs of items in different components under one key."""
+    mine = open_keys.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+    other = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    return mine.join(other, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def linked(
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    remaining: Callable[[DataFrame], DataFrame] = pairs_of_keys,
+    star_rounds: int = STAR_ROUNDS,
+) -> DataFrame | None:
+    """id, component of the linked items among those posted as (key, id); None if none are.
 
     ``verify`` takes candidate pairs (a, b) with a < b and returns those that are links.
+    ``remaining`` takes (key, id, component) of keys that hold several components after the
+    star rounds and returns candidate pairs between components.
     """
     links, comps, tried = None, None, None
     for r in range(star_rounds + 1):
@@ -74,10 +89,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], star_r
             if comps is not None:
                 pairs = _across(pairs, comps)
         else:
-            open_keys = stored(placed.join(live.select("key"), "key"), "open-keys")
-            mine = open_keys.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            other = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = mine.join(other, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+            pairs = remaining(stored(placed.join(live.select("key"), "key").select("key", "id", "component"), "open-keys"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -89,7 +101,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], star_r
             continue
         links = good if links is None else links.unionByName(good)
         comps = stored(components(links), "components")
-    return comps, links
+    return comps
 
 
 def _salt(r: int) -> int:

@@ -6,11 +6,16 @@ document of a class takes part in what follows.
 
 Each class has a signature of COORDINATES minima and is posted under every (coordinate,
 value) pair. Two documents at similarity 0.75 agree in 48 of 64 coordinates on average;
-fewer than MATCHES = 27 agree once in some billion pairs. So pairs with fewer matches are
+fewer than MATCHES = 32 agree in three of a million such pairs. So pairs with fewer matches are
 dropped, and by the prefix principle a class needs postings under its COORDINATES - MATCHES
 + 1 rarest pairs only: values nobody shares cost nothing, and values that very many share
-(a passage in many texts) are skipped. Candidates come from stars and open keys (see
-``linking``), must agree in MATCHES coordinates, and are confirmed on their full sets.
+(a passage in many texts) are skipped. Candidates come from stars around one member of each
+posting (see ``linking``), must agree in MATCHES coordinates, and are confirmed on their full
+sets. What is left are texts that share postings without being linked, such as copies that
+have been edited too much; they may be many in one group. For these the prefix principle is
+applied once more, to the shingles themselves: of a pair, the smaller set must have one of its
+rarest seventh of shingles among the rarest quarter of the larger one. Texts whose common
+part is too small name no candidates at all, however large their group.
 
 Null and empty texts have no words: an empty set, linked with nothing. Texts are read whole.
 Repeated ids are kept as rows; rows with equal ids and different sets count as one document
@@ -25,16 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import batch_rows, hashed, keyed_texts, mixed, signed, stored, to_batches, window_hashes, word_hashes
+from revlens.llm.common import among, batch_rows, dealt_anew, hashed, keyed_texts, mixed, signed, stored, to_batches, window_hashes, word_hashes
 from revlens.llm.linking import linked
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
 COORDINATES = 64
-MATCHES = 27
+MATCHES = 32
 
 _MULTIPLIERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -85,13 +90,42 @@ def postings(classes: DataFrame) -> DataFrame:
     posted = classes.select(F.col("doc_id").alias("id"), F.posexplode("signature").alias("at", "value")).select(
         "id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     )
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = dealt_anew(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     mine = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # the COORDINATES - size(keys) values nobody shares come first in the order of rarity
     prefix = F.size("keys") - (MATCHES - 1)
     return mine.filter(prefix > 0).select("id", F.explode(F.slice("keys", 1, prefix)).alias("k")).select("k.key", "id")
 
 
+def sharing_rare_shingles(sets: DataFrame, open_keys: DataFrame) -> DataFrame:
+    """(a, b): pairs between components whose sets may overlap enough, by their rarest shingles."""
+    items = open_keys.select("id", "component").distinct()
+    rows = sets.join(items, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = dealt_anew(rows.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "shingle")
+    order = F.sort_array(F.collect_list(F.struct("texts", "shingle")))
+    ranked = rows.join(shared, "shingle").groupBy("id", "component", "n").agg(order.alias("common"))
+    ranked = stored(ranked, "rare-shingles")
+    own = F.col("n") - F.size("common")  # shingles of no other text: the rarest of all
+
+    def first(length: Column) -> DataFrame:
+        """A set's rarest shingles with their place in the order of rarity (from 0)."""
+        head = F.slice("common", 1, F.greatest(length - own, F.lit(0)).cast("int"))
+        return ranked.select("id", "component", "n", own.alias("own"), F.posexplode(head).alias("at", "s")).select(
+            "id", "component", "n", (F.col("own") + F.col("at")).alias("at"), "s.shingle"
+        )
+
+    s = SIMILARITY_PERCENT
+    longer = first(F.col("n") - F.ceil(s * F.col("n") / 100) + 1).toDF("b", "cb", "nb", "pb", "shingle")
+    smaller = first(F.col("n") - F.ceil(2 * s * F.col("n") / (100 + s)) + 1).toDF("a", "ca", "na", "pa", "shingle")
+    sizes = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # the common part of these two must begin where enough of both sets is left
+    least = F.ceil(s * (F.col("na") + F.col("nb")) / (100 + s))
+    enough = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
+    near = sizes & (100 * F.col("na") >= s * F.col("nb")) & enough & (F.col("ca") != F.col("cb"))
+    pairs = smaller.join(longer, "shingle").filter(near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     texts = keyed_texts(docs, id_col, text_col)
@@ -104,22 +138,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     keys = stored(postings(classes), "postings")
+    posted = keys.select(F.col("id").alias("doc_id")).distinct()
+    sets = among(texts, posted, "doc_id").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
         b = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
         near_size = (100 * F.least("na", "nb")) >= SIMILARITY_PERCENT * F.greatest("na", "nb")
         matches = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-        likely = stored(pairs.join(a, "a").join(b, "b").filter(near_size).filter(matches >= MATCHES).select("a", "b"), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+        likely = pairs.join(a, "a").join(b, "b").filter(near_size).filter(matches >= MATCHES).select("a", "b")
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
         common = F.size(F.array_intersect("xa", "xb"))
         both = likely.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("xa") + F.size("xb")).alias("total"))
         return both.filter(100 * F.col("common") >= SIMILARITY_PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
 
-    comps, _ = linked(keys, verify)
+    comps = linked(keys, verify, lambda open_keys: sharing_rare_shingles(sets, open_keys))
     with_class = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
     placed = with_class.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     if comps is not None:
@@ -128,3 +163,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = placed.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "class_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns.
+
+    Of a group the smallest id stays; rows that share this id stay together.
+    """
+    kept = near_duplicates(docs, id_col, text_col).filter(F.coalesce("kept", F.lit(True)))
+    return among(docs, stored(kept.select(F.col("doc_id").alias(id_col)).distinct(), "kept"), id_col)
