@@ -1,4 +1,4 @@
-"""Joins and the size checks in front of them."""
+"""Joins and the size check in front of them."""
 
 from __future__ import annotations
 
@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from revlens.schema import NOT_PROCESSED, WEEKDAYS
 
-BROADCAST_ROW_LIMIT = 200_000
+SENT_BYTES = 16 * 1024 * 1024
+SENT_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a table only after counting that it is small.
+def small_side(df: DataFrame, max_bytes: int = SENT_BYTES, max_rows: int = SENT_ROWS) -> DataFrame:
+    """Send a word list whole if it is small, by rows and bytes.
 
-    A larger one comes back without a hint; Spark then shuffles both sides and splits
-    skewed partitions at run time.
+    The list is worked out once: what was read for the check is what is sent. A larger one
+    comes back without a hint; Spark then shuffles both sides and splits skewed partitions.
     """
-    found = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if found <= max_rows else df
+    read = df.limit(max_rows + 1).toArrow()
+    if read.num_rows > max_rows or read.nbytes > max_bytes:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(read, df.schema))
 
 
 def one_per_key(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
