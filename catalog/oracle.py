@@ -71,6 +71,7 @@ facts AS (
 )"""
 )
 
+# The five patterns of the cleaning steps.
 CLEAN = (
     FACTS
     + r""",

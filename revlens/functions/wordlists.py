@@ -33,44 +33,85 @@ FREQUENCY_STOPWORDS = (
     "even", "also", "back", "still", "much", "well", "like",
 )
 
-# Category | comma-separated keywords, in report order.
-_ISSUES = """
-Login/Authentication Issues | login, log in, sign in, signin, cant log, can't log, password, locked out, authentication, verify, verification, forgot password, reset password, account access
-App Crashes/Freezing | crash, crashes, freeze, frozen, hang, stuck, loading forever, stops working, force close, unresponsive, black screen, white screen, not responding
-Slow Performance | slow, lag, laggy, sluggish, takes forever, speed, performance, loading time, wait, waiting
-Billing/Charging Issues | charge, charged, bill, billing, payment, money, fee, cost, expensive, overcharge, wrong charge, unexpected charge, double charge, incorrect bill
-Auto Top-up Problems | auto topup, auto top up, automatic topup, auto payment, keep charging, stop charging, deducted, taken money
-Data Usage Issues | data, usage, data usage, using data, data gone, data disappear, data vanish, eating data, data drain
-Balance/Credit Issues | balance, credit, top up, topup, recharge, reload, cant see balance, balance missing, credit missing
-Missing Features | missing, removed, gone, disappeared, unavailable, cant find, can't find, where is, no longer, taken away
-Feature Not Working | not working, doesnt work, doesn't work, broken, error, failed, fails, wont work, won't work, cant use
-User Interface Problems | interface, ui, design, layout, confusing, complicated, hard to use, difficult, cant navigate, poor design
-Update Problems | update, updated, new version, latest version, upgrade, after update, since update, broken after, worse after
-Customer Service Issues | support, service, help, customer service, no help, response, reply, contact, cant contact, no response, unhelpful, rude, poor service
-Network/Connection Issues | network, connection, signal, coverage, internet, wifi, connect, disconnect, no service, poor signal
-Installation/Compatibility | install, download, wont install, cant install, compatible, compatibility, phone, device, version
-Account Issues | account, profile, settings, cant change, locked, suspended, closed, cant access account
-"""
+# Categories and their keywords, in report order.
+ISSUE_TAXONOMY: dict[str, list[str]] = {
+    "Login/Authentication Issues": [
+        "login", "log in", "sign in", "signin", "cant log", "can't log", "password", "locked out",
+        "authentication", "verify", "verification", "forgot password", "reset password",
+        "account access",
+    ],
+    "App Crashes/Freezing": [
+        "crash", "crashes", "freeze", "frozen", "hang", "stuck", "loading forever", "stops working",
+        "force close", "unresponsive", "black screen", "white screen", "not responding",
+    ],
+    "Slow Performance": [
+        "slow", "lag", "laggy", "sluggish", "takes forever", "speed", "performance", "loading time",
+        "wait", "waiting",
+    ],
+    "Billing/Charging Issues": [
+        "charge", "charged", "bill", "billing", "payment", "money", "fee", "cost", "expensive",
+        "overcharge", "wrong charge", "unexpected charge", "double charge", "incorrect bill",
+    ],
+    "Auto Top-up Problems": [
+        "auto topup", "auto top up", "automatic topup", "auto payment", "keep charging",
+        "stop charging", "deducted", "taken money",
+    ],
+    "Data Usage Issues": [
+        "data", "usage", "data usage", "using data", "data gone", "data disappear", "data vanish",
+        "eating data", "data drain",
+    ],
+    "Balance/Credit Issues": [
+        "balance", "credit", "top up", "topup", "recharge", "reload", "cant see balance",
+        "balance missing", "credit missing",
+    ],
+    "Missing Features": [
+        "missing", "removed", "gone", "disappeared", "unavailable", "cant find", "can't find",
+        "where is", "no longer", "taken away",
+    ],
+    "Feature Not Working": [
+        "not working", "doesnt work", "doesn't work", "broken", "error", "failed", "fails",
+        "wont work", "won't work", "cant use",
+    ],
+    "User Interface Problems": [
+        "interface", "ui", "design", "layout", "confusing", "complicated", "hard to use", "difficult",
+        "cant navigate", "poor design",
+    ],
+    "Update Problems": [
+        "update", "updated", "new version", "latest version", "upgrade", "after update",
+        "since update", "broken after", "worse after",
+    ],
+    "Customer Service Issues": [
+        "support", "service", "help", "customer service", "no help", "response", "reply", "contact",
+        "cant contact", "no response", "unhelpful", "rude", "poor service",
+    ],
+    "Network/Connection Issues": [
+        "network", "connection", "signal", "coverage", "internet", "wifi", "connect", "disconnect",
+        "no service", "poor signal",
+    ],
+    "Installation/Compatibility": [
+        "install", "download", "wont install", "cant install", "compatible", "compatibility", "phone",
+        "device", "version",
+    ],
+    "Account Issues": [
+        "account", "profile", "settings", "cant change", "locked", "suspended", "closed",
+        "cant access account",
+    ],
+}
 
 # The compact table with seven categories.
-_COMPACT_ISSUES = """
-Login/Authentication | login, log in, sign in, signin, cant log, can't log, password, account
-App Performance | crash, freeze, frozen, hang, stuck, loading, slow, lag
-Billing/Charges | charge, bill, billing, payment, money, fee, cost, expensive, price
-Data/Usage | data, usage, balance, top up, topup, credit, recharge
-Features/UI | missing, removed, gone, unavailable, interface, design
-Customer Service | support, service, help, customer, response, reply
-Network/Connection | network, connection, signal, coverage, internet, wifi
-"""
-
-
-def _read_taxonomy(text: str) -> dict[str, list[str]]:
-    pairs = (line.split(" | ") for line in text.strip().splitlines())
-    return {name: keywords.split(", ") for name, keywords in pairs}
-
-
-ISSUE_TAXONOMY = _read_taxonomy(_ISSUES)
-COMPACT_TAXONOMY = _read_taxonomy(_COMPACT_ISSUES)
+COMPACT_TAXONOMY: dict[str, list[str]] = {
+    "Login/Authentication": [
+        "login", "log in", "sign in", "signin", "cant log", "can't log", "password", "account",
+    ],
+    "App Performance": ["crash", "freeze", "frozen", "hang", "stuck", "loading", "slow", "lag"],
+    "Billing/Charges": [
+        "charge", "bill", "billing", "payment", "money", "fee", "cost", "expensive", "price",
+    ],
+    "Data/Usage": ["data", "usage", "balance", "top up", "topup", "credit", "recharge"],
+    "Features/UI": ["missing", "removed", "gone", "unavailable", "interface", "design"],
+    "Customer Service": ["support", "service", "help", "customer", "response", "reply"],
+    "Network/Connection": ["network", "connection", "signal", "coverage", "internet", "wifi"],
+}
 
 # Fixed values of the published valence rules (Hutto & Gilbert 2014): words that
 # negate a following sentiment word, and words that strengthen or weaken it. Only

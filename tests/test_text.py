@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,30 +6,36 @@ from revlens.functions.wordlists import COMPACT_TAXONOMY, ISSUE_TAXONOMY
 from revlens.plans.enrich import nostop_columns, text_column
 from tests.conftest import rows
 
+# raw text and what cleaning leaves of it
 CASES = [
-    None, "", "   ", "Plain TEXT", "a\nb\tc", "x https://a.b/c?d=e y", "wwwxyz http", "me@x.y a@ @b a@b@ @@c @a@b",
-    "1234567890 123-456-7890 123.456.7890 12345678901", "don't stop!!! really?", "naïve café İstanbul",
-    "a" + chr(0xA0) + "b" + chr(0x2003) + "c" + chr(0x3000) + "d" + chr(0x1C) + "e" + chr(0x85) + "f",
-    "tab\x0bform\x0c", "control\x01glue", "\U0001F600emoji", "3.5, 1,000 ...",
-    "x@http://foo bar", chr(0xE9) + "1234567890", chr(0x212A) + "elvin", "_under_score_ [brackets] {x} `q` ~",
+    (None, ''),
+    ('', ''),
+    ('   ', ''),
+    ('Plain TEXT', 'plain text'),
+    ('a\nb\tc', 'a b c'),
+    ('x https://a.b/c?d=e y', 'x y'),
+    ('wwwxyz http', 'http'),
+    ('me@x.y a@ @b a@b@ @@c @a@b', 'a b'),
+    ('1234567890 123-456-7890 123.456.7890 12345678901', '12345678901'),
+    ("don't stop!!! really?", 'dont stop!!! really?'),
+    ('na\xefve caf\xe9 \u0130stanbul', 'nave caf istanbul'),
+    ('a\xa0b\u2003c\u3000d\x1ce\x85f', 'a b c d e f'),
+    ('tab\x0bform\x0c', 'tab form'),
+    ('control\x01glue', 'controlglue'),
+    ('\U0001f600emoji', 'emoji'),
+    ('3.5, 1,000 ...', '3.5, 1,000 ...'),
+    ('x@http://foo bar', 'x bar'),
+    ('\xe91234567890', '1234567890'),
+    ('\u212aelvin', 'kelvin'),
+    ('_under_score_ [brackets] {x} `q` ~', 'underscore brackets x q'),
 ]
 
 
-def cleaned_by_rule(value):
-    """The cleaning steps one by one, as plain string work."""
-    if value is None:
-        return ""
-    out = value.lower()
-    for pattern in (r"(http|www)\S+", r"\S+@\S+", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"[^a-zA-Z0-9\s.,!?]"):
-        out = re.sub(pattern, "", out)
-    return re.sub(r"\s+", " ", out).strip()
-
-
-def test_clean_text_equals_the_step_by_step_rule(spark):
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(CASES)], "i int, t string")
+def test_clean_text(spark):
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(CASES)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", text.clean_text(F.col("t")).alias("c")).collect()}
-    for i, case in enumerate(CASES):
-        assert got[i] == cleaned_by_rule(case), repr(case)
+    for i, (raw, left) in enumerate(CASES):
+        assert got[i] == left, repr(raw)
 
 
 def test_clean_text_is_linear_on_long_words(spark):
