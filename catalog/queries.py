@@ -749,6 +749,33 @@ def nmf_topics(spark, sf_dir):
     return model.topic_terms(spark, terms, 10)
 
 
+@query
+def reviews_with_topic(spark, sf_dir):
+    """Which reviews get a topic from each of the two models: those with a known term."""
+    vectors, terms = _topic_vectors(spark, sf_dir)
+    lda = topics.dominant_topic(topics.fit_lda(vectors.select("features")), vectors)
+    nmf = topics.nmf_dominant_topic(topics.fit_nmf(vectors.select("features"), len(terms)), vectors, "doc_id")
+    by_nmf = nmf.select("doc_id", F.col("topic").between(0, 4).alias("nmf_topic"))
+    return lda.select("doc_id", F.col("dominant_topic").between(0, 4).alias("lda_topic")).join(by_nmf, "doc_id", "left").na.fill(False)
+
+
+@query
+def topic_term_checks(spark, sf_dir):
+    """Per topic: terms listed, terms of the vocabulary among them, and weights in falling order."""
+    vectors, terms = _topic_vectors(spark, sf_dir)
+    lda = topics.lda_topic_terms(topics.fit_lda(vectors.select("features")), terms, 10)
+    nmf = topics.fit_nmf(vectors.select("features"), len(terms)).topic_terms(spark, terms, 10)
+    listed = lda.withColumn("model", F.lit("lda")).unionByName(nmf.withColumn("model", F.lit("nmf")))
+    known = features.vocabulary(lemmatized(spark, sf_dir), "content_lemmatized", 1000, 5, 0.7).select("term", F.lit(1).alias("known"))
+    weights = F.array_sort(F.collect_list(F.struct("rank", "weight")))
+    in_order = F.transform(weights, lambda w: w["weight"])
+    return (
+        listed.join(known, "term", "left")
+        .groupBy("model", "topic")
+        .agg(F.count("*").alias("listed"), F.count("known").alias("known"), (in_order == F.sort_array(in_order, asc=False)).alias("falling"))
+    )
+
+
 @query
 def keyword_presence(spark, sf_dir):
     out = stats.keyword_presence(cleaned(spark, sf_dir), TOPICS)
