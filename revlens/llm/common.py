@@ -17,7 +17,7 @@ BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Distinct strings a worker remembers before it starts afresh. Bounds memory, not results.
-MEMORY = 500_000
+MEMORY = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

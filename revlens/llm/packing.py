@@ -58,7 +58,7 @@ class Ids:
     """
 
     LONGEST = 64
-    GENERATION = 600_000
+    GENERATION = 200_000
 
     def __init__(self, vocabulary_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
