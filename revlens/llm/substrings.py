@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import batch_rows, hashed, keyed_texts, signed, stored, to_batches, window_hashes, word_hashes
+from revlens.llm.common import batch_rows, dealt_anew, hashed, keyed_texts, signed, stored, to_batches, window_hashes, word_hashes
 
 LENGTH = 35
 
@@ -125,14 +125,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"))
 
     sent = rows.select("text_key", F.explode(F.arrays_zip("halves", "places")).alias("s")).select("text_key", "s.halves", "s.places")
-    again = sent.groupBy("halves").agg(F.count("*").alias("n")).filter("n > 1").select("halves")
+    again = dealt_anew(sent.groupBy("halves").agg(F.count("*").alias("n")).filter("n > 1").select("halves"), "halves")
     alive = sent.join(again, "halves").groupBy("text_key").agg(F.collect_set("places").alias("alive"))
     alive = stored(alive.join(copies, "text_key").select("row_key", "alive", "copies"), "alive")
 
     # from here on one query: the texts are dealt out by row once and used for both joins
     keyed = texts.select("row_key", "body")
     full = keyed.join(alive, "row_key").mapInArrow(*_full_level(length))
-    twice = full.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
+    twice = dealt_anew(full.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window"), "window")
     starts = full.filter("copies = 1").join(twice, "window").groupBy("row_key").agg(F.collect_set("start").alias("starts"))
     cut = keyed.join(starts, "row_key").mapInArrow(*_cut(length)).groupBy("row_key").agg(F.first("cut_words").alias("cut_words"), F.first("cut_sha256").alias("cut_sha256"))
 
