@@ -178,6 +178,11 @@ def parts_of(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention", F.posexplode(parts).alias("part_no", "p")).select("mention", "part_no", "p.*")
 
 
+def _dealt(df: DataFrame, column: str) -> DataFrame:
+    """Rows over all tasks of a shuffle: an entity is small, but its surrogate is much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def drawn(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, draw: the draw at which each entity's surrogate is like no other."""
 
@@ -188,7 +193,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     reals = entities.select(_compared(F.col("kind")).alias("space"), F.lower("like").alias("made"))
     left, done = entities, []
     for draw in range(MAX_DRAWS):
-        made = left.withColumn("made", F.lower(surrogate(F.col("like"), F.col("kind"), digest(F.lit(draw))))).withColumn("space", _compared(F.col("kind")))
+        made = _dealt(left, "canon").withColumn("made", F.lower(surrogate(F.col("like"), F.col("kind"), digest(F.lit(draw))))).withColumn("space", _compared(F.col("kind")))
         first = made.groupBy("space", "made").agg(F.min(F.struct("kind", "canon")).alias("who"))
         free = first.join(reals, ["space", "made"], "left_anti")
         for before in done:
@@ -212,7 +217,7 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     entities = parts.groupBy("kind", "canon").agg(F.min("core").alias("like"))
     draws = drawn(stored(entities, "entities"), key)
     seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("draw").cast("string")), 512)
-    made = parts.join(draws, ["kind", "canon"]).withColumn("new", surrogate(F.col("core"), F.col("kind"), seed))
+    made = _dealt(parts.join(draws, ["kind", "canon"]), "mention").withColumn("new", surrogate(F.col("core"), F.col("kind"), seed))
     person = F.col("kind").startswith("given") | (F.col("kind") == "surname")
     pieces = F.sort_array(F.collect_list(F.struct("part_no", F.concat("before", "new", "after").alias("text"))))
     names = F.collect_list(F.when(person, F.struct(F.col("core").alias("from"), F.col("new").alias("to"))))
