@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +92,21 @@ def batch_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` over a task's batches; then what it freed goes back to the system.
+
+    Python workers stay between tasks, and share an executor's memory with its JVM.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Remembered(dict):
     """A bounded memory of ``f``; it forgets everything when full, which changes no result."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import among, batch_rows, keyed_texts, stored, to_batches
+from revlens.llm.common import among, batch_rows, keyed_texts, stored, tidy, to_batches
 
 Q = 8
 EDIT_PERCENT = 8
@@ -205,7 +205,7 @@ def contaminated(
                         out.append((d, item_id, edits, matched, len(chars)))
                 yield to_batches(schema, zip(*out, strict=True) if out else [[]] * 5)
 
-        results.append(texts.mapInArrow(searched, RESULT))
+        results.append(texts.mapInArrow(tidy(searched), RESULT))
     if not results:
         return spark.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, results)

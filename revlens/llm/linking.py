@@ -72,9 +72,13 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     remaining: Callable[[DataFrame], DataFrame] = pairs_of_keys,
     star_rounds: int = STAR_ROUNDS,
+    one_centre: bool = False,
 ) -> DataFrame | None:
     """id, component of the linked items among those posted as (key, id); None if none are.
 
+    With ``one_centre`` an item is compared with one of its keys' centres a round, the smallest;
+    where that joins it to its group, the other centres need no comparison any more.
+
     ``verify`` takes candidate pairs (a, b) with a < b and returns those that are links.
     ``remaining`` takes (key, id, component) of keys that hold several components after the
     star rounds and returns candidate pairs between components.
@@ -85,7 +89,9 @@ def linked(
         spread = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min(F.col("id").bitwiseXOR(F.lit(_salt(r)))).alias("centre"))
         live = spread.filter("first <> last").select("key", F.col("centre").bitwiseXOR(F.lit(_salt(r))).alias("centre"))
         if r < star_rounds:
-            pairs = placed.join(live, "key").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+            met = placed.join(live, "key").filter("id <> centre").select("id", "centre")
+            met = met.groupBy("id").agg(F.min("centre").alias("centre")) if one_centre else met
+            pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
             if comps is not None:
                 pairs = _across(pairs, comps)
         else:

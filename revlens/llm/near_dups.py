@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import among, batch_rows, dealt_anew, hashed, keyed_texts, mixed, signed, stored, to_batches, window_hashes, word_hashes
+from revlens.llm.common import among, batch_rows, dealt_anew, hashed, keyed_texts, mixed, signed, stored, tidy, to_batches, window_hashes, word_hashes
 from revlens.llm.linking import linked
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ _MULTIPLIERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
+#: Forgotten at the end of a task: an idle worker should be small.
 _WORDS = word_hashes()
 
 
@@ -75,6 +76,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             out.append((d, len(s), int(digest[0]), int(digest[1]), signature(s) if len(s) else []))
         yield to_batches(schema, zip(*out, strict=True) if out else [[]] * 5)
+    _WORDS.clear()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(d, signed(shingle_set(body))) for d, body in batch_rows(batch, "doc_id", "body")]
         for k in range(0, len(rows), 200):
             yield to_batches(schema, zip(*rows[k : k + 200], strict=True))
+    _WORDS.clear()
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -129,8 +132,8 @@ def sharing_rare_shingles(sets: DataFrame, open_keys: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     texts = keyed_texts(docs, id_col, text_col)
-    rows = stored(texts.mapInArrow(_signed, SIGNED), "signatures")
-    of_set = rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
+    rows = stored(texts.mapInArrow(tidy(_signed), SIGNED), "signatures")
+    of_set = dealt_anew(rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "set_a")
     classes = stored(
         rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
         .select("first.doc_id", "n_shingles", "first.signature")
@@ -139,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     keys = stored(postings(classes), "postings")
     posted = keys.select(F.col("id").alias("doc_id")).distinct()
-    sets = among(texts, posted, "doc_id").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = among(texts, posted, "doc_id").mapInArrow(tidy(_sets), "id long, shingles array<long>")
     sets = stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import batch_rows, byte_symbols, keyed_texts, stored, to_batches
+from revlens.llm.common import batch_rows, byte_symbols, keyed_texts, stored, tidy, to_batches
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -53,8 +53,8 @@ class Ids:
     those of its blank-separated chunks. A chunk of letters and then signs is two words to
     the vocabulary; they go straight to the library's model, in lower case and in its byte
     symbols, as its own preparation would do. Other chunks take the whole preparation. A
-    worker remembers chunks over its tasks: those of the current generation, and those of
-    the one before until they are used again.
+    task remembers chunks: those of the current generation, and those of the one before
+    until they are used again.
     """
 
     LONGEST = 64
@@ -102,21 +102,11 @@ class Ids:
         return out
 
 
-_IDS: dict[str, Ids] = {}
-
-
-def ids_of(vocabulary_file: str) -> Ids:
-    """The worker's own tokenizer with what it remembers."""
-    if vocabulary_file not in _IDS:
-        _IDS[vocabulary_file] = Ids(vocabulary_file)
-    return _IDS[vocabulary_file]
-
-
 def pieces(docs: DataFrame, vocabulary_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(vocabulary_file)
+        ids = Ids(vocabulary_file)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
@@ -132,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary_file: str, capacity: int = CAPACITY, id_c
                     out.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield to_batches(schema, zip(*out, strict=True) if out else [[]] * 5)
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(cut, PIECES)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(tidy(cut), PIECES)
 
 
 def fullest(counts: np.ndarray, fixed: int, capacity: int) -> dict[int, int]:

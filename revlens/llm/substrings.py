@@ -34,6 +34,7 @@ from revlens.llm.common import batch_rows, dealt_anew, hashed, keyed_texts, sign
 
 LENGTH = 35
 
+#: Forgotten at the end of a task: an idle worker should be small.
 _WORDS = word_hashes()
 
 
@@ -84,6 +85,7 @@ def _first_level(length: int):
                 places = np.unique(named)
                 out.append((d, row, text, len(words), _digest(words), signed(halves[places]), places.astype(np.int32)))
             yield to_batches(schema, zip(*out, strict=True) if out else [[]] * 7)
+        _WORDS.clear()
 
     return run, "doc_id long, row_key long, text_key long, n_words long, all_sha256 string, halves array<long>, places array<int>"
 
@@ -99,6 +101,7 @@ def _full_level(length: int):
                 starts = np.flatnonzero(np.isin(named, np.array(alive, np.int64)))
                 windows = window_hashes(h, length)[starts]
                 yield to_batches(schema, (signed(windows), np.full(len(starts), row), starts.astype(np.int32), np.full(len(starts), copies)))
+        _WORDS.clear()
 
     return run, "window long, row_key long, start int, copies long"
 

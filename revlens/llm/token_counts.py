@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from revlens.llm.common import MEMORY, batch_rows, byte_symbols, keyed_texts, to_batches
+from revlens.llm.common import MEMORY, batch_rows, byte_symbols, keyed_texts, tidy, to_batches
 
 #: Fixed value: the published splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,25 +144,15 @@ class Counter:
         return [sum(map(known, chunks)) for chunks in split]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def counter_of(vocabulary_file: str) -> Counter:
-    """The worker's own counter with what it remembers."""
-    if vocabulary_file not in _COUNTERS:
-        _COUNTERS[vocabulary_file] = Counter(vocabulary_file)
-    return _COUNTERS[vocabulary_file]
-
-
 def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(vocabulary_file)
+        counter = Counter(vocabulary_file)
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
         for batch in batches:
             rows = list(batch_rows(batch, "doc_id", "body"))
             tokens = counter.count([b.decode("utf-8", "replace") for _, b in rows])
             yield to_batches(schema, ([d for d, _ in rows], [len(b) for _, b in rows], tokens, [n > limit for n in tokens]))
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(counted, SCHEMA)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(tidy(counted), SCHEMA)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import Remembered, batch_rows, keyed_texts, to_batches
+from revlens.llm.common import Remembered, batch_rows, keyed_texts, tidy, to_batches
 
 FEATURE_BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -276,7 +276,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             rows = [(label, restorer.features(body).astype(np.int32)) for label, body in batch_rows(batch, "label", "body")]
             yield to_batches(schema, zip(*rows, strict=True) if rows else [[]] * 2)
 
-    train = texts.join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "body").mapInArrow(features, "label int, cells array<int>").toArrow()
+    train = texts.join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "body").mapInArrow(tidy(features), "label int, cells array<int>").toArrow()
     cells = train.column("cells").combine_chunks()
     sizes = np.diff(cells.offsets.to_numpy()) if len(cells) else np.empty(0, np.int64)
     model = spark.sparkContext.broadcast(fitted(cells.flatten().to_numpy(), sizes, train.column("label").to_numpy().astype(float)))
@@ -292,5 +292,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 out.append((d, 1 / (1 + math.exp(-max(-60.0, min(60.0, float(weights[restorer.features(body)].sum()) + intercept))))))
             yield to_batches(schema, zip(*out, strict=True) if out else [[]] * 2)
 
-    result = texts.mapInArrow(scored, "doc_id long, score double")
+    result = texts.mapInArrow(tidy(scored), "doc_id long, score double")
     return result.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

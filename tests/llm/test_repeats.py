@@ -150,13 +150,15 @@ def test_line_similarity_is_the_edit_share(spark):
         assert row.s == (100 * distance(row.a, row.b) <= fuzzy_lines.EDIT_PERCENT * longer), (row.a, row.b)
 
 
-def test_simhash_blocks_by_hand(spark):
-    lines = spark.createDataFrame([(1, "alpha beta gamma delta alpha omega")], "line_id long, line string")
-    words = spark.createDataFrame([(w,) for w in "alpha beta gamma delta alpha omega".split()], "w string")
-    hashes = [r.h & (2**64 - 1) for r in words.select(F.xxhash64("w").alias("h")).collect()]
-    bits = [int(2 * sum(h >> k & 1 for h in hashes) > len(hashes)) for k in range(64)]
+def test_simhash_by_hand(spark):
+    words = "alpha beta gamma delta alpha omega".split()
+    lines = spark.createDataFrame([(7, 8, 0, 1, " ".join(words) + " | the a")], "doc_id long, row_key long, line_no int, line_id long, line string")
+    hashes = [r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    bits = [int(2 * sum(h >> k & 1 for h in hashes) > len(hashes)) for k in range(60)]
     row = fuzzy_lines.simhashes(lines).first()
-    assert [row[f"b{b}"] for b in range(4)] == [sum(bits[16 * b + k] << k for k in range(16)) for b in range(4)]
+    assert row["simhash"] == sum(bit << k for k, bit in enumerate(bits))
+    blocks = spark.createDataFrame([(row["simhash"],)], "h long").select(*[fuzzy_lines.block_of(F.col("h"), b) for b in range(4)]).first()
+    assert list(blocks) == [sum(bits[15 * b + k] << k for k in range(15)) for b in range(4)]
 
 
 def test_repeated_rows_share_their_result(spark):
