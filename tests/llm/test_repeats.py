@@ -161,6 +161,28 @@ def test_simhash_by_hand(spark):
     assert list(blocks) == [sum(bits[15 * b + k] << k for k in range(15)) for b in range(4)]
 
 
+def noisy(line, share, seed):
+    """``line`` with words changed that hold about ``share`` of its characters."""
+    r, words = random.Random(seed), line.split(" ")
+    for k in r.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[k] = "".join(r.choice("abcdefgh") for _ in words[k])
+    return " ".join(words)
+
+
+def linked_share(spark, pairs):
+    """Share of the similar ones among pairs of lines that end in one group."""
+    near = [(a, b) for a, b in pairs if 100 * distance(a, b) <= fuzzy_lines.EDIT_PERCENT * max(len(a), len(b))]
+    assert 2 * len(near) > len(pairs)
+    docs = spark.createDataFrame([(k, 0, "\n".join(p)) for k, p in enumerate(near)], "doc_id long, row_key long, body string")
+    groups = fuzzy_lines.line_groups(docs).groupBy("doc_id").agg(F.count_distinct("group_id").alias("n")).collect()
+    return sum(r["n"] == 1 for r in groups) / len(near)
+
+
+def test_most_similar_lines_are_linked(spark):
+    lines = [prose(4000 + k, 18 + k % 60) for k in range(120)]
+    assert linked_share(spark, [(line, noisy(line, 0.05 + 0.01 * (k % 10), k)) for k, line in enumerate(lines)]) >= 0.95
+
+
 def test_repeated_rows_share_their_result(spark):
     line = "a line that is long enough to count"
     docs = with_rows(documents(spark, [line, f"{line}\nb", "w " * 70_000]), [(1, f"{line}\nb"), (0, line), (None, line)])
