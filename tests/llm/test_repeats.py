@@ -183,6 +183,18 @@ def test_most_similar_lines_are_linked(spark):
     assert linked_share(spark, [(line, noisy(line, 0.05 + 0.01 * (k % 10), k)) for k, line in enumerate(lines)]) >= 0.95
 
 
+def test_lines_of_few_or_short_words_are_linked_as_well(spark):
+    pairs = [
+        ("He is on it as we go up to see if it is ok", "He is on it as we go up to see if it is so"),
+        ("Copyright 2019 The Authors", "Copyright 2020 The Authors"),
+        ("All rights reserved by the owner", "All rights reserved by the owners"),
+        ("这是一个没有空格的很长的句子用来检查近似重复行的处理是否正确", "这是一个没有空格的很长的句子用来检查近似重复行的处理是否准确"),
+        ("x" * 3000 + "abcdefghijklmnop" * 20, "x" * 3000 + "abcdefghijklmnop" * 19),
+        (prose(8, 23), prose(8, 23) + " a b"),
+    ]
+    assert linked_share(spark, [(a.lower(), b.lower()) for a, b in pairs]) == 1
+
+
 def test_repeated_rows_share_their_result(spark):
     line = "a line that is long enough to count"
     docs = with_rows(documents(spark, [line, f"{line}\nb", "w " * 70_000]), [(1, f"{line}\nb"), (0, line), (None, line)])
