@@ -195,6 +195,17 @@ def test_lines_of_few_or_short_words_are_linked_as_well(spark):
     assert linked_share(spark, [(a.lower(), b.lower()) for a, b in pairs]) == 1
 
 
+def test_long_lines_keep_the_share_of_edits(spark):
+    line = prose(61, 5000)
+    for share, same in ((0.03, True), (0.12, True), (0.5, False)):
+        r = random.Random(3)
+        other = "".join(r.choice("abc") if r.random() < share else c for c in line)
+        row = spark.createDataFrame([(line, other)], "a string, b string").select(fuzzy_lines.similar("a", "b").alias("s")).first()
+        assert row.s == same
+    docs = documents(spark, [line, noisy(line, 0.04, 1), "w " * 40_000, "w " * 39_000 + "v"])
+    assert [r["n_removed"] for r in collected(fuzzy_lines.deduplicated(docs))] == [0, 1, 0, 1]
+
+
 def test_repeated_rows_share_their_result(spark):
     line = "a line that is long enough to count"
     docs = with_rows(documents(spark, [line, f"{line}\nb", "w " * 70_000]), [(1, f"{line}\nb"), (0, line), (None, line)])
