@@ -47,7 +47,7 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fuzzy_lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

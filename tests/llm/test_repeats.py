@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.llm import fuzzy_lines, linking, near_dups, substrings
+from revlens.llm import fuzzy_lines, linking, near_dups, queries, substrings
 from tests.llm.helpers import ODD, collected, documents, prose, with_rows
 
 
@@ -206,6 +206,14 @@ def test_long_lines_keep_the_share_of_edits(spark):
     assert [r["n_removed"] for r in collected(fuzzy_lines.deduplicated(docs))] == [0, 1, 0, 1]
 
 
+def test_short_lines_are_compared_exactly(spark, tmp_path):
+    texts = ["Read more\n\nx", "read more \n\nRead mode", "READ MORE", None, "\n"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collected(queries.op8_fuzzy_lines(spark, str(tmp_path)))
+    assert [r["text"] for r in got] == ["Read more\n\nx", "\nRead mode", "", None, "\n"]
+    assert [r["n_removed"] for r in got] == [0, 1, 1, 0, 0]
+
+
 def test_repeated_rows_share_their_result(spark):
     line = "a line that is long enough to count"
     docs = with_rows(documents(spark, [line, f"{line}\nb", "w " * 70_000]), [(1, f"{line}\nb"), (0, line), (None, line)])
