@@ -116,6 +116,14 @@ class BlockReader(HTMLParser):
             if tag in INLINE and self.open[k][0] not in INLINE:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section the parser does not know, or that does not end, is a bogus comment, as in browsers."""
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:
+            end = -1
+        return self.parse_bogus_comment(i) if end < 0 else end
+
     def handle_data(self, data: str) -> None:
         if self.unseen:
             return
@@ -128,11 +136,8 @@ class BlockReader(HTMLParser):
 
 def blocks_of(html: str) -> list[Block]:
     reader = BlockReader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # the parser's word for markup it cannot go on with
-        pass
+    reader.feed(html)
+    reader.close()
     reader._end_block()
     return reader.blocks
 

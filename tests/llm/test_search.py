@@ -121,6 +121,14 @@ def test_blocks_of_broken_markup():
         main_text.blocks_of(odd)
 
 
+@pytest.mark.parametrize("odd", ["<![ if IE]>", "<![foo[", "<![foo[ x ]]>", "<![>", "<![1]>", "<![endif]>", "<![if !IE>", "<![CDATA[ x>", "<!DOCTYPE html [<!ELEMENT a>]>", "<!x y>", "<![CDATA[ x ]]>"])
+def test_text_goes_on_after_odd_declarations(odd):
+    texts = [b.text for b in main_text.blocks_of(f"<p>before</p>{odd}<p>one</p><p>after &amp; end</p>")]
+    assert texts[0] == "before" and texts[-1] == "after & end"
+    for cut in range(len(odd)):
+        assert main_text.blocks_of(f"<p>before</p>{odd[:cut]}")[0].text == "before"
+
+
 def test_main_text_of_pages(spark, field):
     page = (
         "<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>B</a></li></ul></nav><div class='ad'>Buy now.</div>"
