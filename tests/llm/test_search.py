@@ -82,6 +82,17 @@ def test_the_benchmark_goes_out_in_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(k, 100 + k, 0) for k in range(6)]
 
 
+def test_a_passage_of_a_long_item_is_found_wherever_it_starts():
+    item = decontaminate.normalised(prose(41, 90, pool=9000).encode())
+    before, after = (decontaminate.normalised(prose(k, 30, pool=9000).encode()) for k in (42, 43))
+    index = decontaminate.Index([(1, item)])
+    length = decontaminate.PART + decontaminate.STRIDE - 1
+    assert length <= 80 and not index.matches(np.r_[before, after])
+    for start in range(len(item) - length + 1):
+        got = index.matches(np.r_[before, item[start : start + length], after])
+        assert got and got[0][1] == 0 and decontaminate.PART <= got[0][2] <= length + decontaminate.PART
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = documents(spark, ["a text"])
     assert decontaminate.contaminated(docs, benchmark(spark, [])).count() == 0
