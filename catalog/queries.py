@@ -875,7 +875,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def train_models(spark, sf_dir):
     """All five learners with their full number of rounds."""
-    return classify.train_models(labelled(spark, sf_dir), folds=0)[1]
+    return classify.train_models(labelled(spark, sf_dir))[1]
 
 
 @query

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import queries
 from revlens.operators import classify, ensemble, evaluate, features, filters, lexicon, scoring, stats, topics
 from revlens.plans.topic_impact import save_topic_impact, topic_impact
 from revlens.sources import sinks
@@ -335,3 +336,11 @@ def test_stratified_folds_spread_every_class(spark):
     assert got[(None, 0)] == 3 and len(got) == 11
     few = filters.stratified_folds(df.where("sentiment_label = 'rare'").limit(2), folds=5)
     assert few.count() == 2
+
+
+def test_the_registered_training_has_cross_validation(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "labelled", lambda spark, sf_dir: None)
+    monkeypatch.setattr(classify, "train_models", lambda df, *args, **kwargs: asked.append((args, kwargs)) or (None, "metrics", None))
+    assert queries.train_models(spark, "") == "metrics"
+    assert asked == [((), {})]  # the operator's own folds
