@@ -30,15 +30,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Application id -> the temporary folder of a local session that names none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session that names none, as in local tests, gets a temporary one.
+    Only a session whose driver is its one executor (master ``local``) and that names none, as
+    in local tests, gets a temporary one; on a cluster executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="revlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _LOCAL_FOLDERS.get(context.applicationId)
+        if named is None:
+            named = _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="revlens-")
     return named.rstrip("/")
 
 
