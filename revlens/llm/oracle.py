@@ -39,7 +39,55 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS componen
 FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_of ON least_of.a = d.doc_id
 """
 
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+sized AS (SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+wanted AS (SELECT DISTINCT item_id, unnest(t) AS term FROM (SELECT item_id, {TERMS} AS t FROM benchmark)),
+posted AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sized) GROUP BY ALL),
+weighed AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM posted, whole GROUP BY term, n_docs
+),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM wanted JOIN posted USING (term) JOIN weighed USING (term), whole GROUP BY item_id, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def _round(r: int) -> str:
+    """Distances, nearest centroids and new centroids of round ``r``, from the centroids c{r}."""
+    return f"""
+d{r} AS (SELECT vec_id, c, CAST(sum((x - v) * (x - v)) AS BIGINT) AS d2 FROM x JOIN c{r} USING (p) GROUP BY vec_id, c),
+a{r} AS (SELECT vec_id, c, d2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, c) AS k FROM d{r}) WHERE k = 1),
+s{r} AS (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY c, p),
+c{r + 1} AS (SELECT c, p, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{r} LEFT JOIN s{r} USING (c, p))"""
+
+
+CLUSTERED = f"""
+WITH kept AS (
+    SELECT vec_id, embedding AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64
+),
+x AS (SELECT vec_id, p, CAST(floor(64 * CAST(e[p] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT vec_id, e, unnest(range(1, 65)) AS p FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 16),
+c0 AS (SELECT c, p, x AS v FROM x JOIN first USING (vec_id)),
+{",".join(_round(r) for r in range(4))},
+sums AS (SELECT c, sum(d2) AS s FROM a3 GROUP BY c),
+names AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p)) AS h FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, d2 AS distance, CAST(s AS BIGINT) AS cluster_inertia,
+    CAST((SELECT sum(s) FROM sums) AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a3 JOIN sums USING (c) JOIN names USING (c)
+"""
+
 ORACLE: dict[str, str] = {
     "op9_substring_dedup": SUBSTRINGS,
     "op10_minhash_near_dedup": NEAR_DUPLICATES,
+    "op12_ranked_search": RANKED,
+    "op13_centroid_clusters": CLUSTERED,
 }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, fuzzy_lines, main_text, near_dups, packing, perplexity, substrings, surrogates, token_counts, toxicity
+from revlens.llm import centroids, decontaminate, fuzzy_lines, gray_index, main_text, near_dups, packing, perplexity, ranked_search, substrings, surrogates
+from revlens.llm import token_counts, toxicity
 from revlens.llm.common import table
 from revlens.llm.oracle import ORACLE
 
@@ -58,6 +59,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
