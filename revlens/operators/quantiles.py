@@ -1,4 +1,12 @@
-"""Exact quantiles without moving or ordering a table's values."""
+"""Exact quantiles from mergeable sketches: two scans for any table of some billion rows.
+
+The first scan builds one quantile sketch per group and column in the tasks that read the
+rows, and merges them. A sketch of accuracy ACCURACY is off by at most 1/ACCURACY of the rows,
+so two of its values, a little below and a little above a wanted rank, surely enclose it. The
+second scan counts the rows below such a bracket and the distinct values inside. Only where a
+bracket may hold more than BRACKET rows is it narrowed first, by a sketch of the rows inside.
+Brackets reach the tasks as a small table; rows are neither shuffled nor sorted.
+"""
 
 from __future__ import annotations
 
@@ -7,79 +15,109 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranges a step cuts an interval of values into, and steps before the rest is put in order.
-SPLITS = 64
-STEPS = 2
-# Groups times value columns whose range borders are sent to every task; more are joined by shuffle.
-SENT_GROUPS = 10_000
+from revlens.sources.sinks import stored
 
+ACCURACY = 10_000
+#: Rows of a bracket that are counted by value and put in order.
+BRACKET = 1_000_000
+# Groups times value columns whose brackets are sent to every task; more are joined by shuffle.
+SENT_GROUPS = 10_000
+#: Distances from a wanted rank, as shares of the rows, from which a sketch surely lies beyond it
+#: (by its error and the three rows that rounding may cost), and the least rows for each.
+_SLACK = ((2 / ACCURACY, 3 * ACCURACY), (1 / 64, 256))
 
-def _narrowed(rows: DataFrame, wanted: DataFrame, keys: list[str], sent) -> tuple[DataFrame, DataFrame]:
-    """Rows with the range they fall into, and the ranges that hold wanted ranks.
 
-    Borders are approximate quantiles of an interval's values; the counts of rows between
-    borders are exact. Both are combined in the tasks that read the rows.
-    """
-    rows = rows.join(sent(wanted.select(*keys)), keys, "left_semi")
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", [i / SPLITS for i in range(1, SPLITS)], 10_000).alias("edges"))
-    below = F.size(F.filter("edges", lambda edge: edge < F.col("value")))
-    ranged = rows.join(sent(edges), keys).select(*keys, below.alias("range"), "value")
-    in_order = Window.partitionBy(*keys).orderBy("range")
-    sizes = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.withColumn("before", F.sum("m").over(in_order) - F.col("m"))
-
-    def here(w: Column) -> Column:
-        return (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("m"))
-
-    def moved(w: Column) -> Column:
-        return F.struct(w["i"].alias("i"), (w["rank"] - F.col("before")).alias("rank"), w["weight"].alias("weight"))
-
-    held = sizes.join(wanted, keys).withColumn("wanted", F.transform(F.filter("wanted", here), moved))
-    interval = (F.col("interval") * (SPLITS + 1) + F.col("range")).alias("interval")
-    others = [k for k in keys if k != "interval"]
-    return (
-        ranged.select(*others, interval, "value"),
-        held.where(F.size("wanted") > 0).select(*others, interval, "wanted"),
+def _sketch(rows: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """keys, m (rows), q: the least value, sketched values at ``probabilities``, the largest."""
+    asked = [min(max(p, 0.0), 1.0) for p in probabilities]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("m"),
+        F.concat(
+            F.array(F.min("value")), F.percentile_approx("value", asked, ACCURACY), F.array(F.max("value"))
+        ).alias("q"),
     )
 
 
+def _brackets(rows: DataFrame, group: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """group, i, rank (from 0), weight, low, high, m: what encloses the rank below each probability."""
+    asked = [p + sign * slack for p in probabilities for slack, _ in _SLACK for sign in (-1, 1)]
+    found = _sketch(rows, group, asked)
+
+    def bracket(i: int, p: float) -> Column:
+        position = F.lit(float(p)) * (F.col("m") - 1)
+        low, high = F.element_at("q", 1), F.element_at("q", -1)
+        for k, (_, least) in reversed(list(enumerate(_SLACK))):
+            at = 2 + 2 * (len(_SLACK) * i + k)
+            wide = F.col("m") >= least
+            low, high = F.when(wide, F.element_at("q", at)).otherwise(low), F.when(wide, F.element_at("q", at + 1)).otherwise(high)
+        return F.struct(
+            F.lit(i).alias("i"),
+            F.floor(position).cast("bigint").alias("rank"),
+            (position - F.floor(position)).alias("weight"),
+            low.alias("low"),
+            high.alias("high"),
+            F.col("m"),
+        )
+
+    return found.select(*group, F.inline(F.array(*[bracket(i, p) for i, p in enumerate(probabilities)])))
+
+
+def _inside(rows: DataFrame, brackets: DataFrame, group: list[str], sent) -> DataFrame:
+    """group, i, value of the rows up to a bracket's end; null for a value below it."""
+    met = rows.join(sent(brackets.select(*group, "i", "low", "high")), group).where(F.col("value") <= F.col("high"))
+    return met.select(*group, "i", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, group: list[str], sent) -> DataFrame:
+    """Brackets of a few thousandths of the rows inside the given ones."""
+    parts = 1000
+    keys = [*group, "i"]
+    near = _inside(rows, brackets, group, sent)
+    below = near.groupBy(*keys).agg(F.count_if(F.col("value").isNull()).alias("below"))
+    grid = _sketch(near.where(F.col("value").isNotNull()), keys, [k / parts for k in range(parts + 1)])
+    place = F.floor((F.col("rank") - F.col("below")) * F.lit(parts) / F.col("inside")).cast("int")
+    held = brackets.drop("low", "high", "m").join(below, keys).join(grid.withColumnRenamed("m", "inside"), keys)
+    return held.select(
+        *keys, "rank", "weight",
+        F.element_at("q", F.greatest(place, F.lit(1))).alias("low"),
+        F.element_at("q", F.least(place + 5, F.lit(parts + 3))).alias("high"),
+        F.ceil(F.col("inside") * F.lit(8 / parts)).alias("m"),
+    )
+
+
 def exact_quantiles(
     df: DataFrame, values: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...`` per group and value column.
 
-    Step by step the interval that holds a wanted rank is cut into ranges, until what is left
-    is a few thousandths of a thousandth of the rows; only that is collapsed to distinct
-    values and put in order. Every step reads the rows where they stand and shuffles counts.
+    Nulls and not-a-numbers do not count; a column without other values has no row.
     """
     group = [*by, "column"]
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(list(by), list(values), "column", "value")
-    rows = long.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("interval", F.lit(0).cast("bigint"))
-    keys = [*group, "interval"]
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    few = totals.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
-    sent = F.broadcast if few else (lambda frame: frame)
-
-    ranks = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("total") - 1)
-        low = F.floor(position)
-        for rank, weight in ((low, 1 - (position - low)), (low + 1, position - low)):
-            ranks.append(F.struct(F.lit(i).alias("i"), rank.cast("bigint").alias("rank"), weight.cast("double").alias("weight")))
-    wanted = totals.select(*keys, F.filter(F.array(*ranks), lambda w: w["weight"] > 0).alias("wanted"))
-    for _ in range(STEPS):
-        rows, wanted = _narrowed(rows, wanted, keys, sent)
-
-    in_interval = Window.partitionBy(*keys).orderBy("value")
-    counts = rows.join(sent(wanted), keys).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
-    picked = (
-        counts.withColumn("first", F.sum("n").over(in_interval) - F.col("n"))
-        .withColumn("w", F.explode("wanted"))
-        .where((F.col("w.rank") >= F.col("first")) & (F.col("w.rank") < F.col("first") + F.col("n")))
-    )
-    return picked.groupBy(*group).agg(
-        *[
-            F.sum(F.when(F.col("w.i") == i, F.col("value") * F.col("w.weight"))).alias(f"q{i}")
-            for i in range(len(probabilities))
-        ]
+    rows = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    for g in by:  # a null group is a group like any other, but equal to none in a join
+        rows = rows.withColumn(g, F.struct(F.col(g).alias("v")))
+    brackets = stored(_brackets(rows, group, probabilities), "quantile-brackets")
+    size = brackets.agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).first()
+    sent = F.broadcast if size["n"] <= SENT_GROUPS * max(1, len(probabilities)) else (lambda frame: frame)
+    # a bracket's share of its rows, both ends off by the sketch's error
+    share = F.when(F.col("m") >= _SLACK[0][1], F.lit(6 / ACCURACY)).otherwise(F.lit(1.0))
+    brackets = brackets.withColumn("m", F.ceil(F.col("m") * share))
+    while (brackets.agg(F.max("m")).first()[0] or 0) > BRACKET:
+        brackets = stored(_narrowed(rows, brackets, group, sent), "quantile-brackets")
+
+    keys = [*group, "i"]
+    counts = stored(_inside(rows, brackets, group, sent).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "quantile-counts")
+    in_order = Window.partitionBy(*keys).orderBy("value")  # the null of the rows below comes first
+    upto = counts.withColumn("last", F.sum("n").over(in_order))
+    placed = upto.withColumn("first", F.col("last") - F.col("n")).join(sent(brackets.select(*keys, "rank", "weight")), keys)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("first") <= rank) & (rank < F.col("last"))
+
+    at, after = holds(F.col("rank")), holds(F.col("rank") + 1) & (F.col("weight") > 0)
+    part = F.when(at, F.col("value") * (1 - F.col("weight"))).otherwise(0.0) + F.when(after, F.col("value") * F.col("weight")).otherwise(0.0)
+    out = placed.where(at | after).groupBy(*group).agg(
+        *[F.sum(F.when(F.col("i") == i, part)).alias(f"q{i}") for i in range(len(probabilities))]
     )
+    return out.select(*[F.col(g)["v"].alias(g) for g in by], "column", *[f"q{i}" for i in range(len(probabilities))])

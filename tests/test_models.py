@@ -1,12 +1,15 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from catalog import queries
+from revlens.learners.blocks import Sparse, packed
 from revlens.operators import classify, ensemble, evaluate, features, filters, lexicon, scoring, stats, topics
 from revlens.plans.topic_impact import save_topic_impact, topic_impact
 from revlens.sources import sinks
@@ -170,6 +173,25 @@ def test_vocabulary_bounds(spark):
         features.fit_tfidf(df, "t", min_df=9)
 
 
+@pytest.mark.parametrize("buckets,looked_into", [(1 << 18, 2), (50, 1), (3, 1), (400, 1)])
+def test_vocabulary_is_exact_whatever_the_buckets(spark, monkeypatch, buckets, looked_into):
+    monkeypatch.setattr(features, "BUCKETS", buckets)
+    monkeypatch.setattr(features, "LOOKED_INTO", looked_into)
+    rng = np.random.default_rng(7)
+    docs = [" ".join(f"w{int(k)}" for k in rng.zipf(1.4, 30) if k < 5000) for _ in range(200)]
+    df = spark.createDataFrame([(d,) for d in docs], "t string")
+    tf, seen = Counter(), Counter()
+    for d in docs:
+        w = d.split()
+        grams = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        tf.update(grams)
+        seen.update(set(grams))
+    for most, low, high in ((20, 1, 1.0), (20, 5, 0.5), (10_000, 3, 1.0)):
+        wanted = sorted((t for t in tf if low <= seen[t] <= high * len(docs)), key=lambda t: (-tf[t], t))[:most]
+        got = features.vocabulary(df, "t", most, low, high).orderBy(F.desc("tf"), "term").collect()
+        assert [(r["term"], r["tf"], r["df"]) for r in got] == [(t, tf[t], seen[t]) for t in wanted]
+
+
 def planted(spark, n=120):
     rng = np.random.default_rng(1)
     groups = [["apple", "pear", "plum", "grape"], ["wheel", "brake", "motor", "clutch"]]
@@ -247,6 +269,80 @@ def test_keyword_presence_invariants_and_welch(spark):
     assert summary[0] in (0, 3)
 
 
+def sparse_table(spark, x, parts=3):
+    rows = [(k, Vectors.sparse(len(v), np.flatnonzero(v).tolist(), v[v != 0].tolist())) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, ["review_id", "features"]).repartition(parts)
+
+
+def low_rank(seed, rows=120, width=40, rank=4):
+    r = np.random.default_rng(seed)
+    x = r.gamma(0.3, size=(rows, rank)) @ (r.gamma(0.5, size=(rank, width)) * (r.random((rank, width)) < 0.4))
+    return np.where(x < 0.05, 0, x) + (r.random(x.shape) < 0.05)
+
+
+def test_digamma_by_known_values():
+    got = topics.digamma(np.array([1.0, 0.2, 0.5, 10.0, 1e6]))
+    assert got == pytest.approx([-0.5772156649015329, -5.289039896592188, -1.9635100260214235, 2.2517525890667214, math.log(1e6) - 5e-7], rel=1e-9)
+
+
+def test_lda_reads_every_review_once_a_pass(spark):
+    df = planted(spark, 90)
+    vectors = features.fit_tfidf(df, "t", pairs=False).transform(df)
+    known = sum(r["features"].numNonzeros() > 0 for r in vectors.collect())
+    for share in (1.0, 0.25, 0.07):
+        assert topics.fit_lda(vectors, k=2, max_iter=3, batch_share=share).read == [known] * 3
+    again = [topics.fit_lda(vectors, k=2, max_iter=2).components for _ in range(2)]
+    assert np.allclose(*again)
+
+
+def test_lda_shares_of_a_review_stand_still():
+    """The parameters of a review satisfy their own equation."""
+    r = np.random.default_rng(2)
+    beta, x = r.dirichlet(np.ones(9), 3), r.poisson(2.0, (20, 9)).astype(float)
+    x[4] = 0
+    row, index = np.nonzero(x)
+    rows = Sparse(np.r_[0, np.cumsum((x > 0).sum(axis=1))], index, x[row, index], 9)
+    gamma = topics.document_topics(rows, beta, 0.5)
+    e = topics._expected(gamma)
+    want = 0.5 + e * ((x / np.maximum(e @ beta, 1e-100)) @ beta.T)
+    full = x.sum(axis=1) > 0
+    assert np.abs(gamma - want)[full].mean() < 2e-3 and (gamma[4] == 1).all()
+
+
+def test_singular_vectors_equal_numpy(spark):
+    x = low_rank(5)
+    blocks = packed(sparse_table(spark, x), ["features"], [40], "review_id", label=None)
+    sizes, v = topics.singular_vectors(blocks, 40, 5)
+    _, s, vt = np.linalg.svd(x)
+    assert sizes == pytest.approx(s[:5], rel=1e-6)
+    assert np.allclose(np.abs((v * vt[:5]).sum(axis=1)), 1, atol=1e-6)
+
+
+def test_nmf_starts_from_singular_vectors(spark):
+    x = low_rank(6)
+    vectors = sparse_table(spark, x)
+    blocks = packed(vectors, ["features"], [40], "review_id", label=None)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    want = np.zeros((4, 40))
+    want[0] = np.sqrt(s[0]) * np.abs(vt[0])
+    for j in range(1, 4):
+        best = max(((np.linalg.norm(a) * np.linalg.norm(b), b / np.linalg.norm(b)) for a, b in ((np.maximum(u[:, j], 0), np.maximum(vt[j], 0)), (np.maximum(-u[:, j], 0), np.maximum(-vt[j], 0)))), key=lambda p: p[0])
+        want[j] = np.sqrt(s[j] * best[0]) * best[1]
+    want[want < 1e-12] = x.mean()
+    assert np.allclose(topics.nndsvda(blocks, 40, 4), want, atol=1e-6)
+    start, random = (topics.fit_nmf(vectors, 40, 4, max_iter=3, tol=0.0, start=s).losses for s in ("nndsvda", "random"))
+    assert all(a < b for a, b in zip(start, random))
+    with pytest.raises(ValueError, match="start"):
+        topics.fit_nmf(vectors, 40, 4, start="zero")
+
+
+def test_topics_of_no_rows(spark):
+    empty = sparse_table(spark, np.zeros((3, 5)))
+    assert topics.fit_nmf(empty, 5, 2).losses == [] and topics.fit_lda(empty, 2).read == []
+    assert [r["dominant_topic"] for r in topics.dominant_topic(topics.fit_lda(empty, 2), empty).collect()] == [None] * 3
+    assert topics.nmf_dominant_topic(topics.fit_nmf(empty, 5, 2), empty).collect() == []
+
+
 def test_moments_of_many_topics_far_from_zero(spark):
     r = np.random.default_rng(3)
     topics = {i: [f"k{i:02d}"] for i in range(60)}
@@ -295,7 +391,7 @@ def test_classifiers_learn_and_survive_saving(spark, tmp_path):
     trainers = {
         "Logistic Regression": classify.logistic_regression(30),
         "Random Forest": classify.random_forest(5, 4),
-        "SVM": classify.linear_svm(20),
+        "SVM": classify.linear_svm(200),
         "Naive Bayes": classify.naive_bayes(),
         "Gradient Boosting": classify.gradient_boosting(3),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.wordlists import COMPACT_TAXONOMY, ISSUE_TAXONOMY
 from revlens.operators import filters, issues, joins, profile, reports
+from revlens.operators import quantiles
 from revlens.operators.quantiles import exact_quantiles
 from tests.conftest import rows
 
@@ -33,6 +34,35 @@ def test_exact_quantiles_against_numpy(spark, partitions):
         assert got[g] == pytest.approx(list(np.quantile(vs, probs)))
 
 
+@pytest.mark.parametrize("bracket", [1_000_000, 50])
+def test_quantiles_of_many_rows_narrow_their_brackets(spark, monkeypatch, bracket):
+    monkeypatch.setattr(quantiles, "BRACKET", bracket)
+    rng = np.random.default_rng(4)
+    wide = np.round(rng.lognormal(sigma=3, size=40_000), 4)
+    same = np.r_[np.full(39_000, 7.0), rng.normal(size=1_500)]
+    few = rng.normal(size=300)
+    groups = {"wide": wide, "same": same, "few": few, None: few[:40]}
+    data = [(g, float(v), -float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(6)
+    probs = (0.0, 0.001, 0.02, 0.5, 0.75, 0.9999, 1.0)
+    got = {(r["g"], r["column"]): [r[f"q{i}"] for i in range(7)] for r in rows(exact_quantiles(df, ["v", "w"], probs, ["g"]))}
+    assert set(got) == {(g, c) for g in groups for c in "vw"}
+    for g, vs in groups.items():
+        assert got[g, "v"] == pytest.approx(list(np.quantile(vs, probs)))
+        assert got[g, "w"] == pytest.approx(list(np.quantile(-vs, probs)))
+
+
+def test_quantiles_read_the_table_twice(spark, tmp_path, monkeypatch):
+    """One scan for the sketch and one for the counts, however many columns and probabilities."""
+    spark.range(70_000).selectExpr("id % 3 AS g", "cast(id AS double) AS v", "sqrt(id) AS w").write.parquet(str(tmp_path / "t"))
+    scans, keep = [], quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda df, name: scans.append(len(df.inputFiles()) > 0 and str(tmp_path) in str(df.inputFiles())) or keep(df, name))
+    out = exact_quantiles(spark.read.parquet(str(tmp_path / "t")), ["v", "w"], (0.25, 0.5, 0.75), ["g"])
+    assert scans == [True, True]
+    assert str(tmp_path) not in str(out.inputFiles())
+    assert {r["column"]: r["q1"] for r in rows(out) if r["g"] == 0} == pytest.approx({"v": 34999.5, "w": (34998**0.5 + 35001**0.5) / 2})
+
+
 def test_describe_and_missing(spark, raw):
     out = {r["column"]: r for r in rows(profile.describe_numeric(raw))}
     scores = [r.score for r in raw.collect() if r.score is not None]
