@@ -75,14 +75,16 @@ def _narrowed(rows: DataFrame, brackets: DataFrame, group: list[str], sent) -> D
     near = _inside(rows, brackets, group, sent)
     below = near.groupBy(*keys).agg(F.count_if(F.col("value").isNull()).alias("below"))
     grid = _sketch(near.where(F.col("value").isNotNull()), keys, [k / parts for k in range(parts + 1)])
-    place = F.floor((F.col("rank") - F.col("below")) * F.lit(parts) / F.col("inside")).cast("int")
-    held = brackets.drop("low", "high", "m").join(below, keys).join(grid.withColumnRenamed("m", "inside"), keys)
-    return held.select(
-        *keys, "rank", "weight",
-        F.element_at("q", F.greatest(place, F.lit(1))).alias("low"),
-        F.element_at("q", F.least(place + 5, F.lit(parts + 3))).alias("high"),
-        F.ceil(F.col("inside") * F.lit(8 / parts)).alias("m"),
-    )
+    step = F.col("inside") / F.lit(float(parts))
+    # a step of the grid and three rows to either side: sketch and rounding are off by less
+    first = F.greatest(F.floor((F.col("rank") - F.col("below") - 3) / step) - 1, F.lit(-1))
+    last = F.least(F.ceil((F.col("rank") - F.col("below") + 4) / step) + 1, F.lit(parts + 1))
+    held = brackets.drop("m").join(below, keys).join(grid.withColumnRenamed("m", "inside"), keys)
+    low, high = F.element_at("q", (first + 2).cast("int")), F.element_at("q", (last + 2).cast("int"))
+    # one that stands still is nearly all one value, which is counted as one row
+    still = (low == F.col("low")) & (high == F.col("high"))
+    size = F.when(still, F.lit(0)).otherwise(F.ceil((last - first + 1) * step))
+    return held.select(*keys, "rank", "weight", low.alias("low"), high.alias("high"), size.cast("bigint").alias("m"))
 
 
 def exact_quantiles(
