@@ -174,9 +174,16 @@ sql(
     "table_shape",
     REVIEWS,
     """SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns,
-  'doc_id, review_id, content, score, review_ts, app_version, reply_content, replied_at, lang, source' AS columns
+  'doc_id, review_id, content, score, review_ts, app_version, reply_content, replied_at, lang, source' AS columns,
+  'bigint, string, string, int, timestamp_ntz, string, string, timestamp_ntz, string, string' AS types
 FROM reviews""",
 )
+sql(
+    "first_rows",
+    REVIEWS,
+    """SELECT doc_id, content, score, lang, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place
+FROM reviews ORDER BY doc_id LIMIT 3""",
+)
 
 
 def _describe(source: str, columns) -> str:

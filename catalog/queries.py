@@ -154,6 +154,11 @@ def table_shape(spark, sf_dir):
     return profile.table_shape(reviews(spark, sf_dir))
 
 
+@query
+def first_rows(spark, sf_dir):
+    return profile.first_rows(reviews(spark, sf_dir).select("doc_id", "content", "score", "lang"), "doc_id")
+
+
 @query
 def describe_numeric(spark, sf_dir):
     out = profile.describe_numeric(facts(spark, sf_dir), ["score", "response_time_hours", "has_reply"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -12,11 +12,12 @@ from revlens.operators.quantiles import exact_quantiles
 
 
 def table_shape(df: DataFrame) -> DataFrame:
-    """Row count, column count and the column list in one row."""
+    """Row count, column count, and the columns' names and types in one row."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
         {
             "n_columns": F.lit(len(df.columns)).cast("bigint"),
             "columns": F.lit(", ".join(df.columns)),
+            "types": F.lit(", ".join(kind for _, kind in column_types(df))),
         }
     )
 
@@ -25,6 +26,15 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+def first_rows(df: DataFrame, key: str = "review_id", n: int = 3) -> DataFrame:
+    """The ``n`` rows with the smallest keys, with their place: a table has no order of its own.
+
+    Every task keeps its ``n`` smallest; nothing is sorted as a whole.
+    """
+    few = df.orderBy(key).limit(n)
+    return few.withColumn("place", F.row_number().over(Window.orderBy(key)))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 

@@ -73,6 +73,9 @@ def test_describe_and_missing(spark, raw):
     assert missing["score"] == 1 and missing["review_ts"] == 2 and "review_id" not in missing
     shape = profile.table_shape(raw).first()
     assert (shape.n_rows, shape.n_columns) == (40, 8)
+    assert shape.types.split(", ") == [kind for _, kind in raw.dtypes]
+    few = rows(profile.first_rows(raw, "review_id"), "place")
+    assert [r["review_id"] for r in few] == sorted(r.review_id for r in raw.collect())[:3] and [r["place"] for r in few] == [1, 2, 3]
     assert ("score", "int") in profile.column_types(raw)
 
 
