@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are compared in lower case, with runs of blanks and ASCII punctuation as one blank. A
-benchmark item longer than SEGMENT characters is searched as segments of PART characters, one
+benchmark item longer than PART characters is searched as segments of PART characters, one
 every STRIDE, so that every passage of PART + STRIDE - 1 characters holds a whole segment and
-is found wherever it starts in the item; a shorter item is searched as a whole. Two strings within k edits share at least
+is found wherever it starts in the item, however long the item is. An item of up to SEGMENT
+characters is searched as a whole besides: its edits may then lie anywhere. Two strings within k edits share at least
 ``length + 1 - q - k * q`` q-grams, and on diagonals (place in the text less place in the
 segment) that lie at most k apart. So the q-grams a text shares with a segment are counted
 in overlapping bands of diagonals, only bands that reach the bound are kept, and each of
@@ -78,9 +79,11 @@ class Index:
         self.segments: list[tuple[int, int, np.ndarray]] = []  # item number, offset, characters
         grams, owners, places = [], [], []
         for number, (_, chars) in enumerate(items):
-            size = PART if len(chars) > SEGMENT else SEGMENT
-            last = max(0, len(chars) - size)
-            for offset in sorted({*range(0, last, STRIDE), last, max(0, last - PART)} if size == PART else {0}):
+            last = max(0, len(chars) - PART)
+            cuts = [(offset, PART) for offset in sorted({*range(0, last, STRIDE), last, max(0, last - PART)})]
+            if len(chars) <= SEGMENT:
+                cuts = [(0, SEGMENT), *(cuts if last else [])]
+            for offset, size in cuts:
                 part = chars[offset : offset + size]
                 g = qgrams(part)
                 if not len(g):
