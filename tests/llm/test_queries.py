@@ -101,3 +101,21 @@ def test_run_is_the_stages_in_order(spark, corpus):
     for r in got:
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert all(sum(n for _, n in pieces) <= 2048 for pieces in by_sequence.values())
+
+
+def test_line_dedup_keeps_the_callers_columns(spark):
+    line = "one line that stands in both of these documents"
+    docs = documents(spark, [f"{line}\nfirst text", f"second text\n{line}", None, ""]).selectExpr("*", "77 AS n_removed", "doc_id AS n_lines", "'x' AS row")
+    got = corpus_pipeline.line_dedup(spark, docs, "")
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert sorted((r["doc_id"], r["text"], r["n_removed"], r["n_lines"], r["row"]) for r in got.collect()) == [
+        (0, f"{line}\nfirst text", 77, 0, "x"), (1, "second text", 77, 1, "x"), (2, None, 77, 2, "x"), (3, "", 77, 3, "x"),
+    ]
+
+
+def test_stages_take_empty_tables(spark, corpus):
+    none = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, none, corpus[0])
+        assert got.count() == 0, name
+        assert name == "best-fit packing" or got.columns == none.columns
