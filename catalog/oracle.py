@@ -6,7 +6,7 @@ tests check it against planted structure or brute force instead.
 
 from __future__ import annotations
 
-from catalog.queries import LEMMAS, LEXICON, MANY_TOPICS, TOPICS
+from catalog.queries import LEMMAS, LEXICON, MANY_TOPICS, PHRASES, TOPICS
 from revlens.functions.wordlists import (
     COMPACT_TAXONOMY,
     ENGLISH_STOPWORDS,
@@ -241,6 +241,40 @@ sql(
     TOKENS,
     "SELECT doc_id, CAST(len(tokens) AS INT) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tokens",
 )
+_ABBREVIATIONS = (
+    TOKENS
+    + r""",
+cut AS (SELECT doc_id, list_filter(string_split(content_clean, ' '), lambda w: w <> '') AS words, content_clean FROM clean),
+w AS (SELECT trim(u, ',!?') AS w FROM (SELECT unnest(words) AS u FROM cut)),
+counts AS (SELECT regexp_replace(w, '\.$', '') AS term, sum(CAST(w LIKE '%.' AS INT)) AS a,
+  sum(CAST(w NOT LIKE '%.' AS INT)) AS b FROM w WHERE w <> '' AND (w NOT LIKE '%.' OR regexp_matches(w, '[^.]\.$')) GROUP BY 1),
+total AS (SELECT least(sum(a) / sum(a + b), 0.99) AS p FROM counts),
+scores AS (SELECT term, a, b, length(replace(term, '.', '')) AS m, length(term) - m + 1 AS k,
+  -2 * (a * ln(p) + b * ln(1 - p) - a * ln(0.99) - b * ln(0.01)) * exp(-m) * k * pow(CAST(m AS DOUBLE), -b) AS score
+  FROM counts, total WHERE a > 0 AND regexp_matches(term, '[a-z]'))"""
+)
+sql(
+    "abbreviation_scores",
+    _ABBREVIATIONS,
+    """SELECT term, CAST(a AS BIGINT) AS with_stop, CAST(b AS BIGINT) AS without_stop,
+  round(score * 1000, 4) / 1000 AS score FROM scores""",
+)
+sql(
+    "tokenize_abbreviations",
+    _ABBREVIATIONS
+    + r""",
+marked AS (SELECT doc_id, array_to_string(list_transform(words, lambda w, i: CASE WHEN i < len(words)
+    AND regexp_matches(w, '[^.]\.$') AND list_contains(known,
+    regexp_replace(w, '\.$', '')) THEN regexp_replace(w, '\.$', '') || '#' ELSE w END), ' ') AS marked
+  FROM cut, (SELECT list(term) AS known FROM scores WHERE score >= 1e-3)),
+kept AS (SELECT doc_id, list_transform(list_filter(string_split("""
+    + "regexp_replace(" * 9
+    + r"""marked, '\.{2,}|[!?]', ' \0 ', 'g'),
+      ',([^0-9]|$)', ' , \1', 'g'), '([^.])\.( |$)', '\1 . \2', 'g')"""
+    + _SPLIT_WORDS
+    + """, ' '), lambda t: t <> ''), lambda t: replace(t, '#', '.')) AS kept FROM marked)""",
+    "SELECT doc_id, CAST(len(kept) AS INT) AS n_tokens, array_to_string(kept, ' ') AS tokens FROM kept",
+)
 sql("remove_stopwords", NOSTOP, "SELECT doc_id, content_clean_nostop FROM nostop")
 sql("lemmatize", LEMMA, "SELECT doc_id, content_lemmatized FROM lemma")
 sql(
@@ -343,6 +377,15 @@ sql(
     "SELECT DISTINCT doc_id, category FROM nostop JOIN kw ON contains(content_clean_nostop, keyword)",
 )
 
+sql(
+    "taxonomy_match_table",
+    CLEAN
+    + """,
+kw AS (SELECT DISTINCT CAST(item_id % 10 AS INT) AS category, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS keyword
+  FROM benchmark)""",
+    "SELECT DISTINCT doc_id, category FROM clean JOIN kw ON contains(content_clean, keyword)",
+)
+
 # ------------------------------------------------------------------ reports
 
 sql("score_distribution", FACTS, "SELECT score, count(*) AS n FROM facts GROUP BY score")
@@ -561,10 +604,8 @@ tok AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS p
 )
 _BOOST = "CASE WHEN {0} IN ('this', 'so') THEN 0.293 WHEN {0} = 'by' THEN -0.293 ELSE 0 END"
 _NEG = "WHEN {0} IN ('that', 'not', 'never') THEN -0.74 ELSE 1 END"
-sql(
-    "lexicon_compound",
-    _BARE
-    + f""",
+_COMPOUND = (
+    f""",
 ctx AS (SELECT *, coalesce(lag(term, 1) OVER w, '') AS p1, coalesce(lag(term, 2) OVER w, '') AS p2,
   coalesce(lag(term, 3) OVER w, '') AS p3 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 v0 AS (SELECT ctx.*, CAST(polarity AS DOUBLE) AS v FROM ctx JOIN lex USING (term)),
@@ -585,16 +626,30 @@ c AS (SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS c FROM t)""",
     """SELECT doc_id, round(c, 3) AS vader_compound, CASE WHEN c >= 0.05 THEN 'Positive' WHEN c <= -0.05 THEN 'Negative'
   ELSE 'Neutral' END AS vader_sentiment FROM c""",
 )
-sql(
-    "lexicon_polarity",
-    _BARE
-    + """,
+_POLARITY = (
+    """,
 m AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM tok JOIN lex USING (term) GROUP BY 1)""",
     """SELECT doc_id, round(CAST(coalesce(p, 0) AS DOUBLE), 4) AS textblob_polarity,
   round(CAST(coalesce(s, 0) AS DOUBLE), 4) AS textblob_subjectivity,
   CASE WHEN p > 0.1 THEN 'Positive' WHEN p < -0.1 THEN 'Negative' ELSE 'Neutral' END AS textblob_sentiment
 FROM clean LEFT JOIN m USING (doc_id)""",
 )
+# phrases: one pattern over words with a blank on either side, the longest alternative first
+_ANY_PHRASE = "|".join(t.replace(" ", "  ") for t, *_ in sorted(PHRASES, key=lambda p: -len(p[0].split())))
+_PHRASED = (
+    CLEAN
+    + ",\n"
+    + _values("lex", "term, polarity, subjectivity", LEXICON + PHRASES)
+    + rf""",
+bare AS (SELECT doc_id, content_clean, list_transform(regexp_extract_all(' ' || array_to_string(list_transform(
+  list_filter(string_split(content_clean, ' '), lambda w: length(w) > 1), lambda w: trim(w, '.,!?')), '  ') || ' ',
+  ' (?:{_ANY_PHRASE}|[^ ]*) '), lambda w: replace(trim(w), '  ', ' ')) AS words FROM clean),
+tok AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM bare)"""
+)
+sql("lexicon_compound", _BARE + _COMPOUND[0], _COMPOUND[1])
+sql("lexicon_polarity", _BARE + _POLARITY[0], _POLARITY[1])
+sql("lexicon_compound_phrases", _PHRASED + _COMPOUND[0], _COMPOUND[1])
+sql("lexicon_polarity_phrases", _PHRASED + _POLARITY[0], _POLARITY[1])
 _MARK = "(length(content_clean) - length(replace(content_clean, '{0}', ''))) / 8.0"
 sql(
     "score_batches",

@@ -23,10 +23,12 @@ from revlens.operators import (
     filters,
     issues,
     joins,
+    keyword_index,
     lexicon,
     profile,
     reports,
     scoring,
+    sentences,
     stats,
     topics,
 )
@@ -58,6 +60,14 @@ LEXICON = [
     ("with", 0.2, 0.1),
     ("from", -0.1, 0.1),
 ]
+PHRASES = [
+    ("of the", -0.4, 0.2),
+    ("that the", 0.5, 0.4),
+    ("the the the", 0.9, 0.6),
+    ("de la", -0.6, 0.1),
+    ("de la de la", 0.7, 0.9),
+    ("is is", -0.3, 0.3),
+]
 LEMMAS = [
     ("des", "de"),
     ("les", "le"),
@@ -278,6 +288,20 @@ def tokenize_review(spark, sf_dir):
     return tokens.select("doc_id", F.size("t").alias("n_tokens"), text.join_tokens(F.col("t")).alias("tokens"))
 
 
+@query
+def abbreviation_scores(spark, sf_dir):
+    scored = sentences.abbreviation_scores(sentences.stop_counts(cleaned(spark, sf_dir)))
+    return scored.select("term", "with_stop", "without_stop", (r4(F.col("score") * 1000) / 1000).alias("score"))
+
+
+@query
+def tokenize_abbreviations(spark, sf_dir):
+    base = cleaned(spark, sf_dir).select("doc_id", "content_clean")
+    # the test tables hold few real abbreviations: a lower bar keeps a good many words
+    found = sentences.tokenize(base, sentences.abbreviations(base, threshold=1e-3), key="doc_id")
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), text.join_tokens(F.col("tokens")).alias("tokens"))
+
+
 @query
 def remove_stopwords(spark, sf_dir):
     return nostop(spark, sf_dir).select("doc_id", "content_clean_nostop")
@@ -405,6 +429,13 @@ def taxonomy_match(spark, sf_dir):
     )
 
 
+@query
+def taxonomy_match_table(spark, sf_dir):
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("keyword")
+    keywords = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).cast("int").alias("category"), word)
+    return keyword_index.keyword_table_match(cleaned(spark, sf_dir), keywords.distinct(), "content_clean", "doc_id")
+
+
 def kw_tables():
     from revlens.functions.wordlists import COMPACT_TAXONOMY, ISSUE_TAXONOMY
 
@@ -630,6 +661,29 @@ def lexicon_compound(spark, sf_dir):
     return rounded(out, "vader_compound", digits=3)
 
 
+def phrase_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON + PHRASES, "term string, polarity double, subjectivity double")
+
+
+@query
+def lexicon_compound_phrases(spark, sf_dir):
+    out = lexicon.lexicon_compound(
+        cleaned(spark, sf_dir),
+        phrase_table(spark),
+        key="doc_id",
+        negators=["that", "not", "never"],
+        boosters_up=["this", "so"],
+        boosters_down=["by"],
+    )
+    return rounded(out, "vader_compound", digits=3)
+
+
+@query
+def lexicon_polarity_phrases(spark, sf_dir):
+    out = lexicon.lexicon_polarity(cleaned(spark, sf_dir), phrase_table(spark), key="doc_id")
+    return rounded(out, "textblob_polarity", "textblob_subjectivity")
+
+
 @query
 def lexicon_polarity(spark, sf_dir):
     out = lexicon.lexicon_polarity(cleaned(spark, sf_dir), lexicon_table(spark), key="doc_id")

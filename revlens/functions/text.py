@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -33,6 +33,11 @@ _CONTRACTIONS = (
 _CONTRACTION_PARTS = " $1$3$5$7$9$11 $2$4$6$8$10$12 "
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value worked out once, however often it is used and in whatever loop."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _drop_if(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
     """Remove a pattern from the few texts that hold a sign of it at all.
 

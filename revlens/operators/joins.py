@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.schema import NOT_PROCESSED, WEEKDAYS
@@ -23,6 +23,30 @@ def small_side(df: DataFrame, max_bytes: int = SENT_BYTES, max_rows: int = SENT_
     return F.broadcast(df.sparkSession.createDataFrame(read, df.schema))
 
 
+def with_hits(
+    df: DataFrame, items: Column, table: DataFrame, on: str, column: str, key: str = "review_id"
+) -> DataFrame:
+    """``df`` with an array of those rows of ``table`` whose ``on`` is among a row's ``items``.
+
+    The row itself travels with its first item only: it is worked out once and shuffled once, and
+    items without a match stay where they are. ``key`` has to be unique. Hits come in no order.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    listed = df.select(F.col(key).alias("__key"), row.alias("__row"), F.array_distinct(items).alias("__items"))
+    parts = listed.select("__key", "__row", F.posexplode_outer("__items").alias("__at", on)).select(
+        "__key", on, F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__row")).alias("__row")
+    )
+    hit = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    found = small_side(table.where(F.col(on).isNotNull()).select(on, hit.alias("__hit")))
+    return (
+        parts.join(found, on, "left")
+        .where(F.col("__row").isNotNull() | F.col("__hit").isNotNull())
+        .groupBy("__key")
+        .agg(F.first("__row", ignorenulls=True).alias("__row"), F.collect_list("__hit").alias(column))
+        .select("__row.*", column)
+    )
+
+
 def one_per_key(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per key, the smallest in column order; combined before the shuffle."""
     best = F.min(F.struct(*columns)).alias("best")

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.labels import classify_compound, classify_polarity
-from revlens.functions.text import words
+from revlens.functions.text import named, words
 from revlens.functions.wordlists import BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS
-from revlens.operators.joins import small_side
+from revlens.operators.joins import small_side, with_hits
 
 # Fixed values of the published valence rules (Hutto & Gilbert 2014).
 BOOST = 0.293
@@ -36,9 +36,74 @@ def _bare_words(text: Column) -> Column:
 
 
 def _unique_terms(lexicon: DataFrame, *values: str) -> DataFrame:
-    """One row per term, so that a repeated term cannot count twice."""
+    """One row per term, so that a repeated term cannot count twice.
+
+    Entries of several words are cut as texts are; what is a single word then is no phrase, and
+    is left out.
+    """
+    term = F.lower("term")
+    phrase = F.contains(F.trim(term), F.lit(" "))
+    parts = F.filter(_bare_words(term), lambda w: w != "")
+    cut = F.when(phrase, F.when(F.size(parts) > 1, F.array_join(parts, " "))).otherwise(term)
     first = F.min(F.struct(*values)).alias("v")
-    return lexicon.groupBy(F.lower("term").alias("term")).agg(first).select("term", "v.*")
+    return lexicon.groupBy(cut.alias("term")).agg(first).where("term IS NOT NULL").select("term", "v.*")
+
+
+def merge_phrases(df: DataFrame, phrases: DataFrame, column: str = "words", key: str = "review_id") -> DataFrame:
+    """``df`` with phrases of its word list made single entries, the words joined by blanks.
+
+    Phrases are taken from left to right, the longest first, and never overlap. They form a trie
+    whose first two levels are a table: a row looks up its pairs of neighbours in one join and gets
+    the branches below them, which are walked where the row stands. ``phrases`` has the column
+    ``term`` (words joined by single blanks); ``key`` has to be unique.
+    """
+    words_of = F.col(column)
+    longest = F.sort_array(F.collect_set(F.struct(F.size("parts").alias("n"), "parts")), asc=False)
+    branches = (
+        phrases.select(F.split("term", " ").alias("parts"))
+        .where(F.size("parts") > 1)
+        .groupBy(F.array_join(F.slice("parts", 1, 2), " ").alias("head"))
+        .agg(longest.alias("below"))
+    )
+
+    def pair(w: Column, i: Column) -> Column:
+        return F.concat_ws(" ", w, F.get(words_of, i + 1))
+
+    found = with_hits(df, F.transform(words_of, pair), branches, "head", "__branches", key)
+
+    def phrases_at(known: Column) -> Column:
+        def ending(w: Column, i: Column) -> Column:
+            below = F.try_element_at(known, pair(w, i))
+            fits = F.filter(below, lambda p: F.slice(words_of, i + 1, p["n"]) == p["parts"])
+            return F.struct(i.alias("at"), F.coalesce(F.get(fits, F.lit(0))["n"], F.lit(0)).alias("n"))
+
+        return F.filter(F.transform(words_of, ending), lambda p: p["n"] > 0)
+
+    places = named(F.map_from_entries("__branches"), phrases_at)
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("taken"))
+
+    def take(state: Column, p: Column) -> Column:
+        end = F.struct((p["at"] + p["n"]).alias("free"), F.array_append(state["taken"], p).alias("taken"))
+        return F.when(p["at"] >= state["free"], end).otherwise(state)
+
+    def merged(taken: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(taken, k - 1)["at"] + F.get(taken, k - 1)["n"], F.lit(0))
+            phrase = F.array_join(F.slice(words_of, p["at"] + 1, p["n"]), " ")
+            return F.concat(F.slice(words_of, begin + 1, p["at"] - begin), F.array(phrase))
+
+        last = F.element_at(taken, -1)
+        rest = F.slice(words_of, last["at"] + last["n"] + 1, F.size(words_of))
+        return F.when(F.size(taken) > 0, F.concat(F.flatten(F.transform(taken, piece)), rest)).otherwise(words_of)
+
+    changed = F.when(F.size("__branches") > 0, named(F.aggregate(places, start, take)["taken"], merged))
+    return found.withColumn(column, changed.otherwise(words_of)).drop("__branches")
+
+
+def _phrases_merged(split: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Word lists with the lexicon's phrases as single entries; a lexicon without any costs nothing."""
+    phrases = terms.where(F.contains("term", F.lit(" "))).select("term")
+    return split if phrases.isEmpty() else merge_phrases(split, phrases, key=key)
 
 
 def _known(terms: DataFrame, candidates: Sequence[str]) -> set[str]:
@@ -122,7 +187,8 @@ def lexicon_compound(
 ) -> DataFrame:
     """Compound valence in [-1, 1] and its class for every review; 0 without any hit.
 
-    ``lexicon`` is (term, polarity). ``key`` has to be unique; ``keep`` names further
+    ``lexicon`` is (term, polarity); a term of several words counts as one word where it occurs,
+    and its words do not count for themselves. ``key`` has to be unique; ``keep`` names further
     columns of the review to carry along.
     """
     boosters = [*boosters_up, *boosters_down]
@@ -132,6 +198,7 @@ def lexicon_compound(
 
     carried = [key, *keep]
     split = df.select(*carried, F.col(text).alias("text"), _bare_words(F.col(text)).alias("words"))
+    split = _phrases_merged(split, terms, key)
     tokens = F.transform(
         "words",
         lambda word, i: F.struct(
@@ -179,10 +246,11 @@ def lexicon_polarity(
 ) -> DataFrame:
     """Mean polarity and subjectivity of the words found, 0 without any, and the class."""
     carried = [key, *keep]
-    terms = small_side(_unique_terms(lexicon, "polarity", "subjectivity"))
-    exploded = df.select(*carried, F.explode_outer(_bare_words(F.col(text))).alias("term"))
+    terms = _unique_terms(lexicon, "polarity", "subjectivity")
+    split = _phrases_merged(df.select(*carried, _bare_words(F.col(text)).alias("words")), terms, key)
+    exploded = split.select(*carried, F.explode_outer("words").alias("term"))
     return (
-        exploded.join(terms, "term", "left")
+        exploded.join(small_side(terms), "term", "left")
         .groupBy(*carried)
         .agg(
             # rounding makes the mean, and the class at a threshold, independent of the
@@ -203,24 +271,14 @@ def lemmatize(
 ) -> DataFrame:
     """Replace word forms by the lemmas of a (form, lemma) table; other words stay.
 
-    Only the forms a review really uses travel: they come back as one short map per
-    review, and the review's words are replaced in place. ``key`` has to be unique.
+    Only the lemmas a review really uses come to it, as one short map, and its words are
+    replaced in place. ``key`` has to be unique.
     """
     forms = dictionary.where(F.col("form") != F.col("lemma")).groupBy("form").agg(F.min("lemma").alias("lemma"))
-    used = (
-        df.select(key, F.explode_outer(F.array_distinct(tokens)).alias("form"))
-        .join(small_side(forms), "form")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("__lemmas"))
-    )
-    replaced = F.transform(
-        tokens, lambda t: F.coalesce(F.try_element_at(F.col("__lemmas"), t), t)
-    )
-    return (
-        df.join(used, key, "left")
-        .withColumn(
-            column,
-            F.array_join(F.when(F.col("__lemmas").isNull(), F.col(tokens)).otherwise(replaced), " "),
-        )
-        .drop("__lemmas")
-    )
+    found = with_hits(df, F.col(tokens), forms, "form", "__lemmas", key)
+
+    def replaced(known: Column) -> Column:
+        return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), t))
+
+    lemmas = F.when(F.size("__lemmas") > 0, named(F.map_from_entries("__lemmas"), replaced)).otherwise(F.col(tokens))
+    return found.withColumn(column, F.array_join(lemmas, " ")).drop("__lemmas")
