@@ -17,19 +17,16 @@ from revlens.plans.enrich import text_column
 Q = 3
 
 
-def _grams(text: Column, q: int) -> Column:
-    """The distinct runs of ``q`` characters of a text; none in a shorter one or in null."""
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many characters of a text; none in a shorter one or in null."""
 
-    def runs(chars: Column) -> Column:
+    def runs(chars: Column, q: int) -> Column:
         starts = F.sequence(F.lit(0), F.size(chars) - q)
-        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)]))
+        found = F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)]))
+        return F.when(F.size(chars) >= q, found).otherwise(F.array().cast("array<string>"))
 
-    distinct = F.array_distinct(named(F.split(text, ""), runs))
-    return F.when(F.length(text) >= q, distinct).otherwise(F.array().cast("array<string>"))
-
-
-def _all_grams(text: Column, lengths: list[int]) -> Column:
-    return F.concat(*[_grams(text, q) for q in lengths])
+    cut = named(F.split(text, ""), lambda chars: F.concat(*[runs(chars, q) for q in lengths]))
+    return F.when(F.length(text) >= min(lengths), F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
 def rarest_grams(texts: DataFrame, keywords: DataFrame, lengths: list[int]) -> DataFrame:
@@ -37,10 +34,10 @@ def rarest_grams(texts: DataFrame, keywords: DataFrame, lengths: list[int]) -> D
 
     A keyword with a q-gram that no text holds occurs nowhere and is left out.
     """
-    own = F.when(F.length("keyword") < Q, F.array("keyword")).otherwise(_grams(F.col("keyword"), Q))
+    own = F.when(F.length("keyword") < Q, F.array("keyword")).otherwise(_grams(F.col("keyword"), [Q]))
     listed = keywords.select("category", "keyword", F.explode(own).alias("gram"))
     wanted = small_side(listed.select("gram").distinct())
-    seen = texts.select(F.explode(_all_grams(F.col("low"), lengths)).alias("gram"))
+    seen = texts.select(F.explode(_grams(F.col("low"), lengths)).alias("gram"))
     counts = seen.join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return (
         listed.join(counts, "gram", "left")
@@ -64,7 +61,7 @@ def keyword_table_match(df: DataFrame, keywords: DataFrame, text: str | None = N
         return df.select(key).limit(0).withColumn("category", F.lit(None).cast(keywords.schema["category"].dataType))
     texts = df.select(key, F.lower(text or text_column(df)).alias("low"))
     index = rarest_grams(texts, table, lengths)
-    found = with_hits(texts, _all_grams(F.col("low"), lengths), index, "gram", "hits", key)
+    found = with_hits(texts, _grams(F.col("low"), lengths), index, "gram", "hits", key)
     held = F.filter("hits", lambda h: F.contains("low", h["keyword"]))
     categories = F.array_distinct(F.transform(held, lambda h: h["category"]))
     return found.select(key, F.explode(categories).alias("category"))

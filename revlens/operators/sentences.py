@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import named, word_tokens, words
 from revlens.operators.joins import with_hits
+from revlens.sources.sinks import stored
 
 # Fixed values of the published method (Kiss & Strunk 2006).
 STOP_LIKELIHOOD = 0.99
@@ -23,23 +24,26 @@ _KEPT_STOP = "\x01"
 
 
 def _ends_in_stop(word: Column) -> Column:
-    return word.rlike(r"[^.]\.$")
+    """One full stop behind something else. No pattern: this is asked of every word."""
+    stop = F.endswith(word, F.lit("."))
+    return stop & ~F.endswith(word, F.lit("..")) & (F.length(word) > 1)
 
 
 def stop_counts(df: DataFrame, text: str = "content_clean") -> DataFrame:
     """term, with_stop, without_stop: how often each word stands with and without a full stop.
 
-    Words that end in several dots, and words of marks alone, are left out. Counted where the
-    rows stand; one row per distinct word and task is shuffled.
+    Words that end in several dots, and words of marks alone, are left out. Words are counted as
+    they stand first, so that only distinct ones are shuffled and looked at.
     """
-    word = F.col("word")
-    listed = df.select(F.explode(F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(_MARKS)))).alias("word"))
+    standing = df.select(F.explode(F.split(F.lower(text), " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    word, n = F.col("word"), F.col("n")
+    bare = standing.select(F.btrim("word", F.lit(_MARKS)).alias("word"), "n")
     stop = _ends_in_stop(word)
-    plain = listed.where((word != "") & (stop | ~F.endswith(word, F.lit("."))))
     return (
-        plain.select(F.when(stop, F.rtrim(word, F.lit("."))).otherwise(word).alias("term"), stop.cast("long").alias("s"))
+        bare.where((word != "") & (stop | ~F.endswith(word, F.lit("."))))
+        .select(F.when(stop, F.rtrim(word, F.lit("."))).otherwise(word).alias("term"), stop.alias("stop"), "n")
         .groupBy("term")
-        .agg(F.sum("s").alias("with_stop"), F.sum(1 - F.col("s")).alias("without_stop"))
+        .agg(F.sum(F.when(F.col("stop"), n).otherwise(0)).alias("with_stop"), F.sum(F.when(~F.col("stop"), n).otherwise(0)).alias("without_stop"))
     )
 
 
@@ -48,8 +52,10 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 
     The score compares two explanations of the stops behind a word by their likelihoods (a stop
     comes as often as behind any word, or nearly always), and is lowered for long words and for
-    each time the word stood without one.
+    each time the word stood without one. The counts are written once, so that the texts behind
+    them are read once.
     """
+    counts = stored(counts, "word-counts")
     total = counts.agg(
         F.sum(F.col("with_stop") + F.col("without_stop")).alias("n_words"), F.sum("with_stop").alias("n_stops")
     )
