@@ -90,7 +90,7 @@ class BlockReader(HTMLParser):
         names = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                names += [w.lower() for w in _NAME.findall(value)[:6]]
+                names += [w.lower() for w in _NAME.findall(value)]
         self.open.append((tag, " ".join(names)))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from revlens.llm.common import free_name, stored
 
 #: Patterns of what counts as an entity. None can begin inside a word, and what may repeat is
-#: bounded, so a text is read in linear time.
+#: bounded or, in secrets of any length, one class of characters: a text is read in linear time.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 IP = r"(?<![\p{N}.])(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}(?!\p{N}|\.\p{N})"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\p{Nd}{1,3}(?:[ .-]?\(?\p{Nd}{2,4}\)?){2,5}|\(?\p{Nd}{3}\)?[ .-]\p{Nd}{3}[ .-]\p{Nd}{4})(?!\p{N})"
 CARD = r"(?<![\p{L}\p{N}])\p{Nd}(?:[ -]?\p{Nd}){12,18}(?!\p{N})"
 IDENTITY = r"(?<![\p{L}\p{N}-])\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}(?![\p{N}-])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,128})(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])"
 MALE = "Mr|Herrn?|Monsieur|Señor|Sr|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Señora|Señorita|Sra|госпожа"
 NEUTRAL = "Dr|Prof"

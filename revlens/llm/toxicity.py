@@ -257,6 +257,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(remainder == HELD_OUT, F.lit(False))
 
 
+def chosen(id_col: str, share: float) -> Column:
+    """Whether a row belongs to a sample of this share, by 62 bits of its id's hash: no share is too small."""
+    return F.shiftrightunsigned(F.xxhash64(id_col), 2) < F.lit(int(share * 2**62))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     spark = docs.sparkSession
@@ -267,7 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
     # bounded by TRAIN_ROWS: small enough to send to every task
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known.filter(chosen("doc_id", share))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs.value)

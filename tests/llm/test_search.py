@@ -289,3 +289,25 @@ def test_other_keys_give_other_surrogates(spark):
     a, b = (sorted(r["text"] for r in surrogates.pseudonymised(docs, k).collect()) for k in "ab")
     assert len(a) == 3 and a[0] == a[1] and a != b
     assert surrogates.pseudonymised(documents(spark, []), "k").count() == 0
+
+
+@pytest.mark.parametrize("length", [130, 5000])
+def test_secrets_of_any_length_go(spark, length):
+    secret = "a1b2c3d4" * (length // 8) + "e" * (length % 8)
+    got = surrogates.pseudonymised(documents(spark, [f"key {secret} end", f"sk-{secret}"]), "k")
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert secret not in texts[0] and secret not in texts[1]
+    assert len(texts[0]) == length + 8 and texts[0].startswith("key ") and texts[0].endswith(" end")
+
+
+def test_samples_of_very_small_shares_hold_rows(spark):
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert ids.filter(toxicity.chosen("doc_id", 1.0)).count() == 200_000
+    assert 150 < ids.filter(toxicity.chosen("doc_id", 1e-3)).count() < 250
+    least = ids.selectExpr("min(shiftrightunsigned(xxhash64(doc_id), 2)) AS h").first()["h"]
+    assert least / 2**62 < 1e-4 and ids.filter(toxicity.chosen("doc_id", (least + 4096) / 2**62)).count() >= 1
+
+
+def test_all_words_of_a_class_are_read():
+    page = "<div class='a b c d e f g sidebar'><p>menu words</p></div>"
+    assert any("sidebar" in step for step in main_text.blocks_of(page)[0].path)
