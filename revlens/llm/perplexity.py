@@ -2,12 +2,12 @@
 
 The language model is a modified Kneser-Ney model of character n-grams inside words (with
 marks for the start and the end of a word), one per language. Spark counts the words of the
-whole corpus, spreads each distinct word over its n-grams, and computes continuation counts,
-discounts and back-off weights by grouping. The result is a set of arrays of n-gram hashes in
-ascending order with a weight each. Hashes are cut to HASH_BITS bits per order, so the arrays
-have a proven bound (ORDER * 2**HASH_BITS entries, about 130 MB for weights and as much for
-back-off) and can be broadcast, however large the corpus is; two n-grams that meet in one
-cell share their counts.
+whole corpus, cuts each distinct word into the longest n-gram that ends at each of its places,
+and computes continuation counts of shorter ones, discounts and back-off weights by grouping.
+An n-gram is grouped by its characters (21 bits each in two longs), so no two share a count,
+however many there are. The result is sent to the tasks as arrays of 64-bit hashes in ascending
+order with a weight each: 12 bytes per n-gram and per context. It grows with the number of
+distinct n-grams of the corpus; the driver and each worker hold all of it.
 
 A document's score is the mean negative log probability of a word, where a word counts once
 in each block of BLOCK words: common words would otherwise hide junk, and counting each word
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from revlens.llm.common import MEMORY, among, batch_rows, keyed_texts, mixed, stored, tidy, to_batches, window_hashes
 
 ORDER = 5
-HASH_BITS = 21
+#: Bits of a character in a packed n-gram (0: no character), and marks beyond all characters.
+CHAR_BITS = 21
+START, END = 0x110000, 0x110001
 BLOCK = 128
 FENCE = 2.0
 MIN_SPREAD = 0.3
@@ -51,33 +53,76 @@ SYMBOLS = b"#*$%&|<>"
 _STEP_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _seed(lang: bytes) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang))
+
+
+def _characters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words with their marks, number of the word and start of the word for each."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    chars = np.frombuffer("".join(f"\0{t}\0" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(lengths)
+    chars[ends - lengths] = START
+    chars[ends - 1] = END
+    return chars, np.repeat(np.arange(len(texts)), lengths), np.repeat(ends - lengths, lengths)
+
+
 def gram_hashes(words: list[bytes], lang: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order: (order, key, context key, suffix key, opens a word, number of the word).
 
-    Keys are hashes of the n-gram, of the n-gram without its last and without its first
-    character. Unigrams have the empty context, whose key is 0.
+    Keys are 64-bit hashes of the n-gram, of the n-gram without its last and without its first
+    character. Unigrams have the empty context, whose key is that of the language.
     """
-    texts = ["\x02" + w.decode("utf-8", "replace") + "\x03" for w in words]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
+    chars, owner, start = _characters(words)
+    seed = _seed(lang)
     chars = mixed(chars + seed)
-    mask = np.uint64((1 << HASH_BITS) - 1)
     at = np.arange(len(chars))
-    current = np.zeros(len(chars), np.uint64)  # hash of the n-gram that ends at each place
+    current = np.full(len(chars), seed)  # hash of the n-gram that ends at each place
     for order in range(1, ORDER + 1):
         previous = current
-        shifted = np.r_[np.zeros(1, np.uint64), previous[:-1]]
+        shifted = np.r_[np.full(1, seed), previous[:-1]]
         current = mixed(shifted * _STEP_MULTIPLIER + chars + np.uint64(order))
         # the start mark is never predicted, only part of contexts
         ok = np.flatnonzero((at - start >= order - 1) & (at > start))
         # a start mark at the front: nothing can stand before it
         opens = at[ok] - start[ok] == order - 1
-        context = shifted[ok] if order > 1 else np.zeros(len(ok), np.uint64)
-        suffix = previous[ok] if order > 1 else np.zeros(len(ok), np.uint64)
-        yield order, current[ok] & mask, context & mask, suffix & mask, opens, owner[ok]
+        yield order, current[ok], shifted[ok], previous[ok], opens, owner[ok]
+
+
+def longest_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones among the longest n-grams that end at each place: (hi, lo, number).
+
+    ``lo`` holds the last three characters plus one each, ``hi`` those before. Shorter n-grams than
+    ORDER open a word; all other shorter ones are the ends of longer ones.
+    """
+    chars, owner, start = _characters(words)
+    at = np.arange(len(chars))
+
+    def back(k: int) -> np.ndarray:
+        """The characters ``k`` places before, plus one; 0 outside the word."""
+        return np.where(at - start >= k, np.r_[np.zeros(k, np.uint64), chars[: len(chars) - k] + np.uint64(1)][: len(chars)], np.uint64(0))
+
+    bits = np.uint64(CHAR_BITS)
+    ends = np.flatnonzero(at > start)
+    lo = ((back(2) << (bits + bits)) | (back(1) << bits) | back(0))[ends]
+    hi = ((back(4) << bits) | back(3))[ends]
+    order = np.lexsort((lo, hi))
+    lo, hi, n = lo[order], hi[order], counts[owner[ends]][order]
+    first = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])][: len(lo)])
+    return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def packed_hashes(lang: np.ndarray, order: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The keys of ``gram_hashes`` for packed n-grams of 0 to ORDER characters, ``lang`` being the languages' keys."""
+    bits, mask = np.uint64(CHAR_BITS), np.uint64((1 << CHAR_BITS) - 1)
+    slots = [hi >> bits, hi & mask, lo >> (bits + bits), (lo >> bits) & mask, lo & mask]
+    out = lang.copy()
+    for k, slot in enumerate(slots):
+        step = k + order - ORDER + 1  # the place of the character in its n-gram
+        hashed = mixed(out * _STEP_MULTIPLIER + mixed(slot - np.uint64(1) + lang) + step.astype(np.uint64))
+        out = np.where(step > 0, hashed, out)
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +146,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [("gram_order", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("opens", pa.bool_()), ("n", pa.int64())]
-    schema = pa.schema(fields)
+    schema = pa.schema([("lang", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
     for batch in batches:
         by_lang: dict[bytes, tuple[list, list]] = {}
         for lang, word, n in batch_rows(batch, "lang", "word", "n"):
@@ -110,26 +154,71 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.append(word)
             counts.append(n)
         for lang, (words, counts) in by_lang.items():
-            weight = np.array(counts, np.int64)
-            for order, gram, context, suffix, opens, owner in gram_hashes(words, lang):
-                key, first, back = np.unique(gram, return_index=True, return_inverse=True)
-                n = np.bincount(back, weights=weight[owner], minlength=len(key)).astype(np.int64)
-                columns = (np.full(len(key), order, np.int32), key.astype(np.int64), context[first].astype(np.int64), suffix[first].astype(np.int64), opens[first], n)
-                yield to_batches(schema, columns)
+            hi, lo, n = longest_grams(words, np.array(counts, np.int64))
+            yield to_batches(schema, (np.full(len(n), _seed(lang)).view(np.int64), hi.view(np.int64), lo.view(np.int64), n))
+
+
+def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("gram_order", pa.int32()), ("key", pa.int64()), ("value", pa.float32())])
+    for batch in batches:
+        lang, length, hi, lo = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("lang", "length", "hi", "lo"))
+        key = packed_hashes(lang.view(np.uint64), length.astype(np.int64), hi.view(np.uint64), lo.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("gram_order")), pa.array(key.view(np.int64)), batch.column(batch.schema.get_field_index("value"))], schema=schema)
+
+
+def _slot(k: int) -> int:
+    """The least number that fills ``k`` characters of a long."""
+    return 1 << CHAR_BITS * (k - 1)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram_order, gram, context, suffix, opens, n over all words of the corpus."""
+    """lang (key), gram_order, hi, lo, c: Kneser-Ney counts of all n-grams over all words of the corpus.
+
+    The longest n-grams and those that open a word count as often as they occur, others once for
+    every character that stands before them.
+    """
     words = docs.mapInArrow(tidy(_count_words), "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # cells that different n-grams share keep the smallest context, whichever task met them
-    return (
-        words.mapInArrow(tidy(_count_grams), "gram_order int, gram long, context long, suffix long, opens boolean, n long")
-        .groupBy("gram_order", "gram")
-        .agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.max("opens").alias("opens"), F.sum("n").alias("n"))
-    )
+    longest = words.mapInArrow(tidy(_count_grams), "lang long, hi long, lo long, n long").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("c"))
+    order = F.when(F.col("hi") >= _slot(2), 5).when(F.col("hi") > 0, 4).when(F.col("lo") >= _slot(3), 3).when(F.col("lo") >= _slot(2), 2).otherwise(1)
+    longest = stored(longest.select("lang", order.alias("gram_order"), "hi", "lo", "c"), "grams")
+    found, counts = longest.filter(F.col("gram_order") == ORDER), None
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:
+            # without its first character: the slots from there on
+            hi = F.col("hi").bitwiseAND(F.lit(_slot(max(1, k - 2)) - 1))
+            lo = F.col("lo").bitwiseAND(F.lit(_slot(min(3, k) + 1) - 1))
+            ends = found.groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c"))
+            ends = ends.select("lang", F.lit(k).alias("gram_order"), "hi", "lo", "c")
+            found = stored(ends.unionByName(longest.filter(F.col("gram_order") == k)), "grams")
+        counts = found if counts is None else counts.unionByName(found)
+    return counts
+
+
+class Table:
+    """Numbers by 64-bit hash, in ascending order of the hashes; ``missing`` for other hashes.
+
+    Hashes are evenly spread: their first bits tell where to look, within a few places.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
+        self.keys = np.r_[keys, np.uint64(2**64 - 1)]
+        self.values = np.r_[values, np.float32(missing)].astype(np.float32)
+        self.missing = np.float32(missing)
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
+    def __getitem__(self, wanted):
+        key = np.atleast_1d(np.asarray(wanted, np.uint64))
+        at = self.first[(key >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] < key)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < key[left]]
+        return np.where(self.keys[at] == key, self.values[at], self.missing).reshape(np.shape(wanted))
 
-Tables = dict[int, tuple[np.ndarray, np.ndarray]]
+
+Tables = dict[int, tuple[Table, Table]]
 
 
 class Model:
@@ -138,16 +227,9 @@ class Model:
     def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], backoff: dict[int, tuple[np.ndarray, np.ndarray]], floor: float):
         self.grams, self.backoff, self.floor = grams, backoff, floor
 
-    @staticmethod
-    def _spread(table: tuple[np.ndarray, np.ndarray], missing: float) -> np.ndarray:
-        """The sorted array as a table by hash: a worker looks up millions of n-grams."""
-        out = np.full(1 << HASH_BITS, missing, np.float32)
-        out[table[0]] = table[1]
-        return out
-
     def spread(self) -> Tables:
         """Weights and back-off of each order as tables; for the life of a task, not of a worker."""
-        return {k: (self._spread(self.grams[k], 0.0), self._spread(self.backoff[k], 1.0)) for k in self.grams}
+        return {k: (Table(*self.grams[k], 0.0), Table(*self.backoff[k], 1.0)) for k in self.grams}
 
     def word_scores(self, words: list[bytes], lang: bytes, tables: Tables) -> np.ndarray:
         """Negative log probability of each word, its end mark included."""
@@ -170,60 +252,50 @@ class Model:
         return np.bincount(place, weights=-np.log(np.maximum(p, 1e-12)), minlength=len(words))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Modified Kneser-Ney weights of all n-grams; grouping and joins run on Spark."""
-    raw = stored(gram_counts(docs), "grams")
-    before = (
-        raw.filter("gram_order > 1")
-        .groupBy((F.col("gram_order") - 1).alias("gram_order"), F.col("suffix").alias("gram"))
-        .agg(F.count("*").alias("before"))
-    )
-    counts = raw.join(before, ["gram_order", "gram"], "left").withColumn(
-        "c", F.when((F.col("gram_order") == ORDER) | F.col("opens"), F.col("n")).otherwise(F.coalesce("before", "n"))
-    )
-    counts = stored(counts.select("gram_order", "gram", "context", "c"), "kn-counts")
+def _with_discounts(counts: DataFrame) -> DataFrame:
+    """``counts`` with the discount d of each n-gram and the number (kinds) of those of its language and order."""
     tally = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    seen = {r["gram_order"]: r for r in counts.groupBy("gram_order").agg(*tally, F.count("*").alias("kinds")).collect()}
-
-    def discounts(order: int) -> tuple[float, float, float]:
-        r = seen.get(order)
-        n = [r[f"n{k}"] if r else 0 for k in (1, 2, 3, 4)]
-        if not n[0] or not n[1]:
-            return (0.5, 0.75, 0.9)
-        y = n[0] / (n[0] + 2 * n[1])
-        found = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.9)
-        return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(found, (1, 2, 3), strict=True))
-
-    def by_order(value) -> Column:
-        out = F.lit(None)
-        for order in range(1, ORDER + 1):
-            out = F.when(F.col("gram_order") == order, value(order)).otherwise(out)
-        return out
+    n = [F.col(f"n{k}") for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    found = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], F.when(n[2] > 0, 3 - 4 * y * n[3] / n[2]).otherwise(0.9))
+    told = (n[0] > 0) & (n[1] > 0)
+    d = [F.when(told, F.least(F.greatest(f, F.lit(0.05)), F.lit(k - 0.05))).otherwise(other) for f, k, other in zip(found, (1, 2, 3), (0.5, 0.75, 0.9), strict=True)]
+    each = counts.groupBy("lang", "gram_order").agg(*tally, F.count("*").alias("kinds"))
+    each = each.select("lang", "gram_order", "kinds", *[c.alias(f"d{k}") for k, c in enumerate(d, 1)])
+    discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counts.join(each, ["lang", "gram_order"]).withColumn("d", discount).drop("d1", "d2", "d3")
 
-    def discount(order: int) -> Column:
-        d = discounts(order)
-        return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-
-    cut = counts.withColumn("d", by_order(discount))
-    context = cut.groupBy("gram_order", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("spared"))
-    # sorted hash arrays: bounded by ORDER * 2**HASH_BITS entries each
-    weights = (
-        cut.join(context, ["gram_order", "context"])
-        .select("gram_order", "gram", ((F.col("c") - F.col("d")) / F.col("total")).cast("float").alias("value"))
-        .toArrow()
+
+def fit(docs: DataFrame) -> Model:
+    """Modified Kneser-Ney weights of all n-grams; grouping and joins run on Spark."""
+    counts = gram_counts(docs)
+    low, bits = F.col("hi").bitwiseAND(F.lit(_slot(2) - 1)), CHAR_BITS
+    # without the last character
+    first = [F.shiftright("hi", bits).alias("chi"), F.shiftright("lo", bits).bitwiseOR(F.shiftleft(low, 2 * bits)).alias("clo")]
+    cut = stored(_with_discounts(counts).select("*", *first), "kn-counts")
+    context = cut.groupBy("lang", "gram_order", "chi", "clo").agg(F.sum("c").alias("total"), F.sum("d").alias("spared"), F.max("kinds").alias("kinds"))
+    kinds = cut.filter("gram_order = 1").agg(F.coalesce(F.max("kinds"), F.lit(0))).first()[0]
+    weights = cut.join(context.drop("kinds"), ["lang", "gram_order", "chi", "clo"]).select(
+        "lang", "gram_order", F.col("gram_order").alias("length"), "hi", "lo", ((F.col("c") - F.col("d")) / F.col("total")).cast("float").alias("value")
     )
-    back = context.select("gram_order", F.col("context").alias("gram"), (F.col("spared") / F.col("total")).cast("float").alias("value")).toArrow()
+    # what unigrams spare goes to the characters of the language alike; the floor is that of the language with most
+    share = F.when(F.col("gram_order") == 1, F.lit(kinds + 1.0) / (F.col("kinds") + 1)).otherwise(1.0)
+    back = context.select(
+        "lang", "gram_order", (F.col("gram_order") - 1).alias("length"), F.col("chi").alias("hi"), F.col("clo").alias("lo"),
+        (F.col("spared") / F.col("total") * share).cast("float").alias("value"),
+    )
 
-    def arrays(found: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        order, key, value = (found.column(c).to_numpy() for c in ("gram_order", "gram", "value"))
+    def arrays(df: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        found = df.mapInArrow(tidy(_hash_grams), "gram_order int, key long, value float").toArrow()
+        order, key, value = (found.column(c).to_numpy() for c in ("gram_order", "key", "value"))
         out = {}
         for k in range(1, ORDER + 1):
             mine = order == k
-            by_key = np.argsort(key[mine], kind="stable")
-            out[k] = key[mine][by_key], value[mine][by_key]
+            hashes = key[mine].view(np.uint64)
+            by_key = np.argsort(hashes, kind="stable")
+            out[k] = hashes[by_key], value[mine][by_key]
         return out
 
-    kinds = seen[1]["kinds"] if 1 in seen else 0
     return Model(arrays(weights), arrays(back), 1.0 / (kinds + 1))
 
 
