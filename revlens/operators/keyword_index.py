@@ -52,7 +52,8 @@ def keyword_table_match(df: DataFrame, keywords: DataFrame, text: str | None = N
     """One row per review and category of which the text holds a keyword, as a substring in any case.
 
     ``keywords`` is (category, keyword), of any size; empty and null keywords are left out. ``key``
-    has to be unique. Two scans of the texts: one counts q-grams, one finds.
+    has to be unique. Two scans of the texts: one counts q-grams, one finds, where the texts stand
+    unless the table is too large to be sent to all tasks.
     """
     table = keywords.select("category", F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
     # at most the numbers 1 to Q
@@ -61,7 +62,13 @@ def keyword_table_match(df: DataFrame, keywords: DataFrame, text: str | None = N
         return df.select(key).limit(0).withColumn("category", F.lit(None).cast(keywords.schema["category"].dataType))
     texts = df.select(key, F.lower(text or text_column(df)).alias("low"))
     index = rarest_grams(texts, table, lengths)
-    found = with_hits(texts, _grams(F.col("low"), lengths), index, "gram", "hits", key)
-    held = F.filter("hits", lambda h: F.contains("low", h["keyword"]))
-    categories = F.array_distinct(F.transform(held, lambda h: h["category"]))
-    return found.select(key, F.explode(categories).alias("category"))
+    sent = small_side(index)
+    if sent is index:  # too large to be sent: grams are shuffled, each text once
+        found = with_hits(texts, _grams(F.col("low"), lengths), index, "gram", "hits", key)
+        held = F.filter("hits", lambda h: F.contains("low", h["keyword"]))
+        categories = F.array_distinct(F.transform(held, lambda h: h["category"]))
+        return found.select(key, F.explode(categories).alias("category"))
+    # texts stay where they are and only the categories of each are shuffled; the outer form, as
+    # a plain explode would cut every text a second time
+    own = texts.select(key, "low", F.explode_outer(_grams(F.col("low"), lengths)).alias("gram"))
+    return own.join(sent, "gram").where(F.contains("low", "keyword")).select(key, "category").distinct()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.functions.text import word_tokens
-from revlens.operators import issues, lexicon, sentences
+from revlens.operators import issues, keyword_index, lexicon, sentences
 from revlens.operators.joins import with_hits
 from revlens.operators.keyword_index import keyword_table_match
 from tests.conftest import rows
@@ -137,6 +137,21 @@ def test_fifty_thousand_keywords_match_as_the_expression_does(spark):
     assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000
 
 
+def test_texts_stay_where_they_are_unless_the_table_is_too_large_to_be_sent(spark, monkeypatch):
+    texts = ["the price is Fair", "slow and pricey", "", None, "fast, slow", "the price is Fair"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], TEXT)
+    pairs = [("money", "price"), ("money", "fair"), ("speed", "slow"), ("speed", "fast"), ("odd", "is"), ("odd", "y")]
+    table = spark.createDataFrame(pairs, "category string, keyword string")
+    want = sorted({(str(i), c) for i, t in enumerate(texts) for c, k in pairs if k in (t or "").lower()})
+    got = keyword_table_match(df, table)
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("low" in line or "row" in line for line in shuffled)
+    monkeypatch.setattr(keyword_index, "small_side", lambda table, *sizes: table)
+    assert sorted(map(tuple, keyword_table_match(df, table).collect())) == want
+
+
 def test_small_keyword_tables_give_the_rows_of_the_expression(spark, enriched):
     taxonomy = {"money": ["price", "pay", "€"], "speed": ["slow", "fast"], "none": ["qqqq"], "all": ["e"]}
     table = spark.createDataFrame([(c, k) for c, ks in taxonomy.items() for k in ks], "category string, keyword string")
