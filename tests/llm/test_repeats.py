@@ -206,6 +206,61 @@ def test_long_lines_keep_the_share_of_edits(spark):
     assert [r["n_removed"] for r in collected(fuzzy_lines.deduplicated(docs))] == [0, 1, 0, 1]
 
 
+def spread(line, share, seed):
+    """``line`` with single characters changed, inserted or left out, at even distances or at random."""
+    r, chars = random.Random(seed), list(line)
+    n = int(share * len(chars))
+    places = [int((k + 0.5) * len(chars) / n) for k in range(n)] if n and seed % 2 else r.sample(range(len(chars)), n)
+    for k in places:
+        chars[k] = r.choice(["#", "#", "", chars[k] + "+"])
+    return "".join(chars)
+
+
+def test_spread_edits_lose_no_link(spark):
+    pairs = []
+    for k, words in enumerate((4, 8, 12, 16, 20, 24, 25, 30, 40, 48, 60, 80, 90, 120, 200, 400)):
+        for share in (0.03, 0.06, 0.1, 0.14):
+            line = prose(7000 + 10 * k + int(100 * share), words)
+            pairs.append((line, spread(line, share, k)))
+    assert linked_share(spark, pairs) == 1
+
+
+def test_line_groups_equal_all_pairs(spark):
+    r, lines = random.Random(5), []
+    for k in range(14):
+        # two syllables only, so that runs are common; lengths on both sides of where the comparison changes
+        base = "".join(r.choice(["la", "lu ", "\U0001f389"]) for _ in range((9, 17, 30, 33, 44, 62, 66)[k % 7])).strip()
+        lines += [base, *(spread(base, share, k).strip() for share in (0.07, 0.15, 0.2))]
+    lines = sorted({x for x in lines if len(x) >= fuzzy_lines.MIN_CHARS})
+    parent = list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            longer = max(len(a), len(b))
+            if 100 * (longer - min(len(a), len(b))) <= 15 * longer and 100 * distance(a, b) <= 15 * longer:
+                parent[root(i)] = root(j)
+    docs = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "doc_id long, row_key long, body string")
+    found = {}
+    for row in fuzzy_lines.line_groups(docs).collect():
+        found.setdefault(row["group_id"], set()).add(row["doc_id"])
+    want = {}
+    for i in range(len(lines)):
+        want.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert 1 < len(want) < len(lines)
+
+
+def test_blocks_of_lines_lose_no_link(spark, monkeypatch):
+    pairs = [(prose(k, words), spread(prose(k, words), 0.14, 1)) for k, words in enumerate((4, 15, 30, 60, 120))]
+    monkeypatch.setattr(fuzzy_lines, "BLOCK_BYTES", 4000)
+    assert linked_share(spark, pairs) == 1
+
+
 def test_short_lines_are_compared_exactly(spark, tmp_path):
     texts = ["Read more\n\nx", "read more \n\nRead mode", "READ MORE", None, "\n"]
     documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
