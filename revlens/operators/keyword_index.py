@@ -1,20 +1,29 @@
 """Keyword tables too large for an expression: found through an index of character q-grams.
 
-``issues.taxonomy_match`` holds every keyword in the plan. Here keywords stay a table: each is
-listed under the one of its q-grams that fewest texts hold, a text looks up its own q-grams, and
-the keywords it gets are verified in the text.
+``issues.taxonomy_match`` holds every keyword in the plan. Here keywords stay a table. One that can
+be sent to all tasks is listed by first bytes, and the texts are read once: a keyword without a
+blank stands within a word, and a task looks into a word it meets again only once. A larger table
+stays where it is: each keyword is listed under the one of its q-grams that fewest texts hold, a
+text looks up its own q-grams, and the keywords it gets are verified in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from revlens.functions.text import named
 from revlens.operators.joins import small_side, with_hits
 from revlens.plans.enrich import text_column
 
 Q = 3
+#: Words a task remembers, and the bytes of the longest one. Bounds memory, not results.
+WORDS, WORD_BYTES = 100_000, 64
 
 
 def _grams(text: Column, lengths: list[int]) -> Column:
@@ -48,14 +57,70 @@ def rarest_grams(texts: DataFrame, keywords: DataFrame, lengths: list[int]) -> D
     )
 
 
+def within(keywords: list[tuple[bytes, int]]) -> Callable[[bytes], frozenset[int]]:
+    """A function from a text to the numbers of the keywords that it holds."""
+    numbers: dict[bytes, set[int]] = {}
+    for keyword, number in keywords:
+        numbers.setdefault(keyword, set()).add(number)
+    heads: dict[bytes, set[int]] = {}
+    for keyword in numbers:
+        heads.setdefault(keyword[:Q], set()).add(len(keyword))
+    widths = sorted({len(head) for head in heads})
+
+    def found(text: bytes) -> frozenset[int]:
+        out: set[int] = set()
+        for i in range(len(text)):
+            for width in widths:
+                for n in heads.get(text[i : i + width], ()):
+                    out |= numbers.get(text[i : i + n], frozenset())
+        return frozenset(out)
+
+    return found
+
+
+def _sent_table_match(texts: DataFrame, table: pa.Table, category: StructField, key: str) -> DataFrame:
+    """key, category of every row, from one scan: ``texts`` is (key, low), ``table`` goes to all tasks."""
+    coded = table.column("category").combine_chunks().dictionary_encode(null_encoding="encode")
+    listed = list(zip((k.encode() for k in table.column("keyword").to_pylist()), coded.indices.to_pylist(), strict=True))
+    sent = texts.sparkSession.sparkContext.broadcast((listed, coded.dictionary))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keywords, names = sent.value
+        look = within([k for k in keywords if b" " not in k[0]])
+        known = lru_cache(WORDS)(look)
+        spaced = [k for k in keywords if b" " in k[0]]
+        across = within(spaced)
+        for batch in batches:
+            rows, hits = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                mine: set[int] = set()
+                for word in set((text or b"").split(b" ")):
+                    if len(mine) == len(names):
+                        break
+                    mine |= known(word) if len(word) <= WORD_BYTES else look(word)
+                if spaced and text and len(mine) < len(names):
+                    mine |= across(text)
+                rows += [row] * len(mine)
+                hits += mine
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, names.take(pa.array(hits, pa.int32()))], names=[key, "category"])
+
+    schema = StructType([StructField(key, texts.schema[key].dataType), StructField("category", category.dataType)])
+    return texts.select(key, F.col("low").cast("binary")).mapInArrow(match, schema).distinct()
+
+
 def keyword_table_match(df: DataFrame, keywords: DataFrame, text: str | None = None, key: str = "review_id") -> DataFrame:
     """One row per review and category of which the text holds a keyword, as a substring in any case.
 
     ``keywords`` is (category, keyword), of any size; empty and null keywords are left out. ``key``
-    has to be unique. Two scans of the texts: one counts q-grams, one finds, where the texts stand
-    unless the table is too large to be sent to all tasks.
+    has to be unique. One scan of the texts, where they stand; for a table too large to be sent to
+    all tasks two, of which one counts q-grams and one finds.
     """
     table = keywords.select("category", F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
+    local = small_side(table)
+    if local is not table:
+        texts = df.select(key, F.lower(text or text_column(df)).alias("low"))
+        return _sent_table_match(texts, local.toArrow(), table.schema["category"], key)
     # at most the numbers 1 to Q
     lengths = sorted(r[0] for r in table.select(F.least(F.length("keyword"), F.lit(Q))).distinct().collect())
     if not lengths:

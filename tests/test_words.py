@@ -158,3 +158,22 @@ def test_small_keyword_tables_give_the_rows_of_the_expression(spark, enriched):
     got = {(r["review_id"], r["category"]) for r in rows(keyword_table_match(enriched, table))}
     assert got == {(r["review_id"], r["category"]) for r in rows(issues.taxonomy_match(enriched, taxonomy))}
     assert keyword_table_match(enriched, table.limit(0)).count() == 0
+
+
+def test_texts_are_read_once_for_a_keyword_table_that_can_be_sent(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abé  \t.") for _ in range(draw.randint(0, 200))) for _ in range(60)] + ["", None, " ", "b" * 300 + "éa" + "b" * 90]
+    pairs = [(c, k) for c, ks in {"x": ["aé", "b\tb", "ba b"], "y": [" ", "bbéabb", "A."], None: ["é  b", "b" * 70], "z": ["zz"]}.items() for k in ks]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "n int, t string").withColumn("t", counted("t"))
+    got = keyword_table_match(df, spark.createDataFrame(pairs, "category string, keyword string"), "t", "n")
+    want = {(i // 2, c) for i, t in enumerate(texts) for c, k in pairs if k.lower() in (t or "").lower()}
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert seen.value == len(texts)
