@@ -1,6 +1,7 @@
 import itertools
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -192,6 +193,38 @@ def test_vocabulary_is_exact_whatever_the_buckets(spark, monkeypatch, buckets, l
         assert [(r["term"], r["tf"], r["df"]) for r in got] == [(t, tf[t], seen[t]) for t in wanted]
 
 
+@pytest.mark.parametrize("pairs", [True, False])
+def test_term_counts_are_those_of_the_grams_column(spark, monkeypatch, pairs):
+    monkeypatch.setattr(features, "TERMS", 5)
+    monkeypatch.setattr(features, "ROWS", 2)
+    texts = ["Ab ab a cd_9 x", "\u212aing ÄBC été İx", "", None, "one", "z" * 40 + " aa\taa\naa", "x y z", "ab-ab.ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    found = [r.g for r in df.select(features.grams("t", pairs).alias("g")).collect()]
+    tf, seen = Counter(t for g in found for t in g), Counter(t for g in found for t in set(g))
+    assert {r["term"]: (r["tf"], r["df"]) for r in rows(features.term_counts(df, "t", pairs))} == {t: (tf[t], seen[t]) for t in tf}
+    sizes = {r["bucket"]: r["size"] for r in rows(features.bucket_sizes(df, "t", pairs))}
+    want = Counter()
+    for t, n in tf.items():
+        want[crc32(t.encode()) % features.BUCKETS] += n
+    assert sizes == want
+
+
+def test_topic_texts_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def lemma(text):
+        made.add(1)
+        return text
+
+    groups, data = [[f"word{chr(97 + g)}{chr(97 + k)}" for k in range(12)] for g in range(6)], np.random.default_rng(2)
+    texts = [(k, " ".join(data.choice(groups[k % 6], 20))) for k in range(90)]
+    monkeypatch.setattr(queries, "lemmatized", lambda spark, sf_dir: spark.createDataFrame(texts, "doc_id long, t string").withColumn("content_lemmatized", lemma("t")))
+    out = queries.topic_term_checks(spark, "").collect()
+    assert made.value == len(texts)
+    assert sorted((r["model"], r["topic"], r["listed"], r["known"], r["falling"]) for r in out) == [(m, k, 10, 10, True) for m in ("lda", "nmf") for k in range(5)]
+
+
 def planted(spark, n=120):
     rng = np.random.default_rng(1)
     groups = [["apple", "pear", "plum", "grape"], ["wheel", "brake", "motor", "clutch"]]
